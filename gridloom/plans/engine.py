@@ -46,7 +46,7 @@ class Array:
     ghosts: tuple[int, ...] = ()
     corners: bool = True
     group: int = 0
-    property: str = ""
+    hint: str = ""
 
     @property
     def ndim(self) -> int:
@@ -84,11 +84,11 @@ class Array:
         return self.engine.create(self.dims, self.dtype, name=name, layout=self.layout, ghosts=self.ghosts)
 
     def cached(self) -> Array:
-        return replace(self, df=self.df.persist(StorageLevel.MEMORY_AND_DISK), property="read_only")
+        return replace(self, df=self.df.persist(StorageLevel.MEMORY_AND_DISK), hint="read_only")
 
     def uncached(self) -> Array:
         self.df.unpersist()
-        return replace(self, property="")
+        return replace(self, hint="")
 
     def collect(self, lo: Sequence[int] | None = None, hi: Sequence[int] | None = None):
         """A box as a numpy array: the one way in which cells reach the driver."""

@@ -32,6 +32,10 @@ def process_grid(dims: Sequence[int], n: int, chunk: Sequence[int] | None = None
     return grid
 
 
+def upto(x: Column):
+    return lambda s: s <= x
+
+
 @dataclass(frozen=True)
 class Layout:
     kind: str  # regular, block_cyclic, scalapack, tiled, tiled_irreg
@@ -118,7 +122,7 @@ class Layout:
             elif len(steps) == 1 and self.dims[d] - starts[-1] <= starts[1]:
                 out.append(F.floor(x / starts[1]))
             else:
-                out.append(F.size(F.filter(F.array(*map(F.lit, starts)), lambda s, x=x: s <= x)).cast("long") - 1)
+                out.append(F.size(F.filter(F.array(*map(F.lit, starts)), upto(x))).cast("long") - 1)
         return out
 
     def owner_column(self) -> Column:
