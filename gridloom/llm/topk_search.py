@@ -149,14 +149,14 @@ def op10_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = {
     "op10_maxscore_top_k": f"""
 WITH parts AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, x -> CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 asked AS (SELECT vec_id, min(v) AS v FROM parts WHERE vec_id % {QUERY_STEP} = 0 GROUP BY vec_id),
 scored AS (
   SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
-         CAST(list_sum(list_transform(range(1, least(len(a.v), len(b.v)) + 1), i -> a.v[i] * b.v[i])) AS BIGINT) AS score
+         CAST(list_sum(list_transform(range(1, least(len(a.v), len(b.v)) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score
   FROM asked a JOIN parts b ON a.vec_id <> b.vec_id),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {TOP}"""
