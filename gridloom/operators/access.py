@@ -19,8 +19,6 @@ from gridloom.operators.elementwise import upsert
 from gridloom.plans.engine import Array
 from gridloom.plans.prefix import numbered
 
-V = F.col("v")
-
 
 def rebased(df: DataFrame, lo: Sequence[int], step: Sequence[int] | None = None) -> DataFrame:
     step = step or [1] * len(lo)
@@ -37,7 +35,7 @@ def as_cells(a: Array, values, shape: Sequence[int]) -> DataFrame:
 
         values = np.broadcast_to(np.asarray(values), shape)
         values = a.engine.from_numpy(values, a.dtype).df
-    v = V if a.dtype.kind == "complex" else V.cast(a.dtype.spark)
+    v = F.col("v") if a.dtype.kind == "complex" else F.col("v").cast(a.dtype.spark)
     return values.select(*names(len(shape)), v.alias("v"))
 
 
@@ -149,7 +147,7 @@ def gather(a: Array, subs: DataFrame) -> DataFrame:
 
 def scatter(a: Array, subs: DataFrame) -> Array:
     """subs: pos, subscripts and v; of repeated subscripts the greatest pos stays. Repeats are reduced before the join."""
-    v = V if a.dtype.kind == "complex" else V.cast(a.dtype.spark)
+    v = F.col("v") if a.dtype.kind == "complex" else F.col("v").cast(a.dtype.spark)
     last = checked_subscripts(a, subs).groupBy(*a.index).agg(F.max_by(v, F.col("pos")).alias("v"))
     return upsert(a, last)
 
@@ -157,7 +155,7 @@ def scatter(a: Array, subs: DataFrame) -> Array:
 def scatter_acc(a: Array, subs: DataFrame, alpha=1) -> Array:
     """a[sub] += alpha * v; repeats all add, summed map-side before the shuffle."""
     require(a.dtype, "accumulate")
-    total = checked_subscripts(a, subs).groupBy(*a.index).agg(N.wide_sum(V, a.dtype).alias("v"))
+    total = checked_subscripts(a, subs).groupBy(*a.index).agg(N.wide_sum(F.col("v"), a.dtype).alias("v"))
     add = lambda old, x: N.narrowed(N.add(wide(old, a), N.mul(x, N.constant(alpha, wide_type(a)), wide_type(a)), wide_type(a)), a.dtype)
     return upsert(a, total, add)
 
@@ -190,7 +188,7 @@ def read_inc(a: Array, at: Sequence[int], inc: int = 1) -> tuple[int, Array]:
     here = F.lit(True)
     for n, x in zip(a.index, at, strict=True):
         here = here & (F.col(n) == x)
-    return int(row[0]), a.with_df(a.df.withColumn("v", F.when(here, (V + inc).cast(a.dtype.spark)).otherwise(V)))
+    return int(row[0]), a.with_df(a.df.withColumn("v", F.when(here, (F.col("v") + inc).cast(a.dtype.spark)).otherwise(F.col("v"))))
 
 
 def tickets(df: DataFrame, order: Sequence[str], base: int = 0, inc: int = 1, name: str = "ticket") -> DataFrame:
@@ -200,7 +198,7 @@ def tickets(df: DataFrame, order: Sequence[str], base: int = 0, inc: int = 1, na
 
 def get_field(a: Array, lo: Sequence[int], hi: Sequence[int], field: str) -> DataFrame:
     """A field of elements of a registered type."""
-    return get(a, lo, hi).withColumn("v", V[field])
+    return get(a, lo, hi).withColumn("v", F.col("v")[field])
 
 
 def put_field(a: Array, lo: Sequence[int], hi: Sequence[int], field: str, values: DataFrame) -> Array:

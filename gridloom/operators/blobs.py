@@ -13,8 +13,6 @@ from gridloom.functions.index import Box, check_box, inside, names
 from gridloom.plans.engine import Engine
 from gridloom.plans.layout import Layout
 
-DATA = F.col("data")
-
 
 @dataclass(frozen=True)
 class Blobs:
@@ -56,7 +54,7 @@ def distribution(b: Blobs, process: int) -> Box | None:
 
 def merged(b: Blobs, new: DataFrame) -> Blobs:
     """Rows of new in place of those of b; full outer, since b has no row for unassigned elements."""
-    new = new.select(*(F.col(n).cast("long").alias(n) for n in b.index), DATA.alias("_new"))
+    new = new.select(*(F.col(n).cast("long").alias(n) for n in b.index), F.col("data").alias("_new"))
     return b.with_df(b.df.join(new, b.index, "full").withColumn("data", F.coalesce("_new", "data")))
 
 
@@ -86,7 +84,7 @@ def get_size(b: Blobs, lo: Sequence[int], hi: Sequence[int]) -> int:
 def same_sizes(b: Blobs, new: DataFrame) -> DataFrame:
     old = b.df.select(*b.index, F.col("size").alias("_size"))
     wrong = F.raise_error(F.lit("the size of an element differs")).cast("binary")
-    return new.join(old, b.index, "left").withColumn("data", F.when(F.col("_size").isNull() | (F.col("_size") == F.length("data")), DATA).otherwise(wrong)).drop("_size")
+    return new.join(old, b.index, "left").withColumn("data", F.when(F.col("_size").isNull() | (F.col("_size") == F.length("data")), F.col("data")).otherwise(wrong)).drop("_size")
 
 
 def put(b: Blobs, lo: Sequence[int], hi: Sequence[int], values: DataFrame, check_size: bool = False) -> Blobs:

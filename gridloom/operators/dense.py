@@ -19,7 +19,6 @@ from gridloom.functions.index import Box, check_box, full, shape_of
 from gridloom.operators.elementwise import placed, upsert
 from gridloom.plans.engine import Array
 
-V, I0, I1 = F.col("v"), F.col("i0"), F.col("i1")
 #: Edge of a tile of C, and inner length of a chunk: a group holds 2 * TILE * CHUNK numbers at most.
 TILE, CHUNK = 256, 1024
 MOST_GLOBAL = 4096
@@ -31,8 +30,8 @@ def triples(a: Array, box: Box, trans: bool) -> DataFrame:
     target = full(shape[::-1] if trans else shape)
     df = placed(a, box, target, trans)
     if a.dtype.kind == "complex":
-        return df.select(I0.alias("i"), I1.alias("j"), V["re"].cast("double").alias("re"), V["im"].cast("double").alias("im"))
-    return df.select(I0.alias("i"), I1.alias("j"), V.cast("double").alias("re"))
+        return df.select(F.col("i0").alias("i"), F.col("i1").alias("j"), F.col("v")["re"].cast("double").alias("re"), F.col("v")["im"].cast("double").alias("im"))
+    return df.select(F.col("i0").alias("i"), F.col("i1").alias("j"), F.col("v").cast("double").alias("re"))
 
 
 def tile_product(complex_: bool, tile: int, chunk: int) -> Callable:
@@ -145,7 +144,7 @@ def check_square(a: Array) -> int:
 def transpose(a: Array) -> Array:
     if a.ndim != 2:
         raise ValueError("transpose takes rank 2")
-    return a.engine.from_df(a.df.select(I1.alias("i0"), I0.alias("i1"), "v"), a.dims[::-1], a.dtype)
+    return a.engine.from_df(a.df.select(F.col("i1").alias("i0"), F.col("i0").alias("i1"), "v"), a.dims[::-1], a.dtype)
 
 
 def symmetrize(a: Array) -> Array:
@@ -153,8 +152,8 @@ def symmetrize(a: Array) -> Array:
     require(a.dtype, "solve")
     if a.ndim < 2 or a.dims[0] != a.dims[1]:
         raise ValueError("the first two dimensions differ")
-    other = a.df.select(I1.alias("i0"), I0.alias("i1"), *(f"i{d}" for d in range(2, a.ndim)), V.alias("_t"))
-    return a.with_df(a.df.join(other, a.index).withColumn("v", (V + F.col("_t")) / 2))
+    other = a.df.select(F.col("i1").alias("i0"), F.col("i0").alias("i1"), *(f"i{d}" for d in range(2, a.ndim)), F.col("v").alias("_t"))
+    return a.with_df(a.df.join(other, a.index).withColumn("v", (F.col("v") + F.col("_t")) / 2))
 
 
 def check_vector(a: Array, v: Array, n: int) -> None:
@@ -165,57 +164,57 @@ def check_vector(a: Array, v: Array, n: int) -> None:
 def get_diag(a: Array) -> Array:
     if a.ndim != 2:
         raise ValueError("a matrix is needed")
-    return a.engine.from_df(a.df.where(I0 == I1).select("i0", "v"), [min(a.dims)], a.dtype)
+    return a.engine.from_df(a.df.where(F.col("i0") == F.col("i1")).select("i0", "v"), [min(a.dims)], a.dtype)
 
 
 def with_vector(a: Array, v: Array, on: Column, value: Callable[[Column, Column], Column], only_diagonal: bool) -> Array:
-    w = v.df.select(F.col("i0").alias("_at"), V.alias("_w"))
+    w = v.df.select(F.col("i0").alias("_at"), F.col("v").alias("_w"))
     if only_diagonal:  # the rest of the matrix needs no join
-        diagonal = a.df.where(I0 == I1).join(w, on == F.col("_at")).select("i0", "i1", value(V, F.col("_w")).alias("v"))
-        return a.with_df(a.df.where(I0 != I1).unionByName(diagonal))
-    return a.with_df(a.df.join(w, on == F.col("_at")).withColumn("v", value(V, F.col("_w"))))
+        diagonal = a.df.where(F.col("i0") == F.col("i1")).join(w, on == F.col("_at")).select("i0", "i1", value(F.col("v"), F.col("_w")).alias("v"))
+        return a.with_df(a.df.where(F.col("i0") != F.col("i1")).unionByName(diagonal))
+    return a.with_df(a.df.join(w, on == F.col("_at")).withColumn("v", value(F.col("v"), F.col("_w"))))
 
 
 def set_diagonal(a: Array, v: Array) -> Array:
     check_vector(a, v, min(a.dims))
-    return with_vector(a, v, I0, lambda old, x: x, True)
+    return with_vector(a, v, F.col("i0"), lambda old, x: x, True)
 
 
 def add_diagonal(a: Array, v: Array) -> Array:
     check_vector(a, v, min(a.dims))
-    return with_vector(a, v, I0, lambda old, x: N.add(old, x, a.dtype), True)
+    return with_vector(a, v, F.col("i0"), lambda old, x: N.add(old, x, a.dtype), True)
 
 
 def shift_diagonal(a: Array, c) -> Array:
-    return a.with_df(a.df.withColumn("v", F.when(I0 == I1, N.add(V, N.constant(c, a.dtype), a.dtype)).otherwise(V)))
+    return a.with_df(a.df.withColumn("v", F.when(F.col("i0") == F.col("i1"), N.add(F.col("v"), N.constant(c, a.dtype), a.dtype)).otherwise(F.col("v"))))
 
 
 def zero_diagonal(a: Array) -> Array:
-    return a.with_df(a.df.withColumn("v", F.when(I0 == I1, N.constant(0, a.dtype)).otherwise(V)))
+    return a.with_df(a.df.withColumn("v", F.when(F.col("i0") == F.col("i1"), N.constant(0, a.dtype)).otherwise(F.col("v"))))
 
 
 def scale_rows(a: Array, v: Array) -> Array:
     """A[i, j] *= v[i]."""
     check_vector(a, v, a.dims[0])
-    return with_vector(a, v, I0, lambda old, x: N.mul(old, x, a.dtype), False)
+    return with_vector(a, v, F.col("i0"), lambda old, x: N.mul(old, x, a.dtype), False)
 
 
 def scale_cols(a: Array, v: Array) -> Array:
     """A[i, j] *= v[j]."""
     check_vector(a, v, a.dims[1])
-    return with_vector(a, v, I1, lambda old, x: N.mul(old, x, a.dtype), False)
+    return with_vector(a, v, F.col("i1"), lambda old, x: N.mul(old, x, a.dtype), False)
 
 
 def zero_triangle(a: Array, upper: bool) -> Array:
-    out = I0 < I1 if upper else I0 > I1
-    return a.with_df(a.df.withColumn("v", F.when(out, N.constant(0, a.dtype)).otherwise(V)))
+    out = F.col("i0") < F.col("i1") if upper else F.col("i0") > F.col("i1")
+    return a.with_df(a.df.withColumn("v", F.when(out, N.constant(0, a.dtype)).otherwise(F.col("v"))))
 
 
 def mirror_triangle(a: Array, upper: bool) -> Array:
     """The other triangle becomes the transposed one."""
     check_square(a)
-    kept = a.df.where(I0 <= I1 if upper else I0 >= I1)
-    return a.with_df(kept.unionByName(kept.where(I0 != I1).select(I1.alias("i0"), I0.alias("i1"), "v")))
+    kept = a.df.where(F.col("i0") <= F.col("i1") if upper else F.col("i0") >= F.col("i1"))
+    return a.with_df(kept.unionByName(kept.where(F.col("i0") != F.col("i1")).select(F.col("i1").alias("i0"), F.col("i0").alias("i1"), "v")))
 
 
 # global kernels: one group
@@ -224,9 +223,9 @@ def tagged(arrays: list[Array]) -> DataFrame:
     for k, a in enumerate(arrays):
         if max(a.dims) > MOST_GLOBAL:
             raise ValueError(f"at most {MOST_GLOBAL} rows: use an iterative solver")
-        j = I1 if a.ndim == 2 else F.lit(0).cast("long")
-        re, im = (V["re"], V["im"]) if a.dtype.kind == "complex" else (V, F.lit(0.0))
-        one = a.df.select(F.lit(0).alias("all"), F.lit(k).alias("which"), I0.alias("i"), j.alias("j"), re.cast("double").alias("re"), im.cast("double").alias("im"))
+        j = F.col("i1") if a.ndim == 2 else F.lit(0).cast("long")
+        re, im = (F.col("v")["re"], F.col("v")["im"]) if a.dtype.kind == "complex" else (F.col("v"), F.lit(0.0))
+        one = a.df.select(F.lit(0).alias("all"), F.lit(k).alias("which"), F.col("i0").alias("i"), j.alias("j"), re.cast("double").alias("re"), im.cast("double").alias("im"))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -14,7 +14,6 @@ from gridloom.functions.index import Box, check_box, full, inside, linear, moved
 from gridloom.plans.engine import Array
 
 Binary = Callable[[Column, Column, DType], Column]
-V = F.col("v")
 
 
 def fill(a: Array, value, box: Box | None = None) -> Array:
@@ -26,20 +25,20 @@ def zero(a: Array, box: Box | None = None) -> Array:
 
 
 def scale(a: Array, alpha, box: Box | None = None) -> Array:
-    return a.with_value(N.mul(V, N.constant(alpha, a.dtype), a.dtype), box and check_box(box, a.dims))
+    return a.with_value(N.mul(F.col("v"), N.constant(alpha, a.dtype), a.dtype), box and check_box(box, a.dims))
 
 
 def add_constant(a: Array, alpha, box: Box | None = None) -> Array:
-    return a.with_value(N.add(V, N.constant(alpha, a.dtype), a.dtype), box and check_box(box, a.dims))
+    return a.with_value(N.add(F.col("v"), N.constant(alpha, a.dtype), a.dtype), box and check_box(box, a.dims))
 
 
 def abs_value(a: Array, box: Box | None = None) -> Array:
-    return a.with_value(N.absolute(V, a.dtype), box and check_box(box, a.dims))
+    return a.with_value(N.absolute(F.col("v"), a.dtype), box and check_box(box, a.dims))
 
 
 def recip(a: Array, box: Box | None = None) -> Array:
     """1 / v; a zero is an error, integers truncate."""
-    return a.with_value(N.div(N.constant(1, a.dtype), V, a.dtype), box and check_box(box, a.dims))
+    return a.with_value(N.div(N.constant(1, a.dtype), F.col("v"), a.dtype), box and check_box(box, a.dims))
 
 
 def randomize(a: Array, most, seed: int = 0) -> Array:
@@ -74,8 +73,8 @@ def placed(a: Array, source: Box, target: Box, trans: bool = False):
 def upsert(b: Array, new, value: Callable[[Column, Column], Column] | None = None) -> Array:
     """b with the cells of new (index, v) replaced, or combined by value(old, new)."""
     new = new.withColumnRenamed("v", "_new").withColumn("_hit", F.lit(True))
-    merged = value(V, F.col("_new")) if value else F.col("_new")
-    df = b.df.join(new, b.index, "left").withColumn("v", F.when(F.col("_hit"), merged).otherwise(V))
+    merged = value(F.col("v"), F.col("_new")) if value else F.col("_new")
+    df = b.df.join(new, b.index, "left").withColumn("v", F.when(F.col("_hit"), merged).otherwise(F.col("v")))
     return b.with_df(df)
 
 

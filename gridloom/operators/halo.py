@@ -12,8 +12,6 @@ from gridloom.functions import numbers as N
 from gridloom.operators.access import periodic_get
 from gridloom.plans.engine import Array
 
-V = F.col("v")
-
 
 def images(a: Array, d: int, width: int) -> Column:
     """array<struct<block, at, out>>: the blocks along dimension d whose halo or inside a cell lies in, and where."""
@@ -110,14 +108,14 @@ def stencil(a: Array, weights: Mapping[Sequence[int], float], periodic: bool = T
     at = {n: F.col(n) + F.col(f"_r.o{d}") for d, n in enumerate(a.index)}
     if periodic:
         at = {n: F.pmod(x, F.lit(size)) for (n, x), size in zip(at.items(), a.dims, strict=True)}
-    sent = sent.select(*(x.alias(n) for n, x in at.items()), (V.cast("double") * F.col("_r.w")).alias("_x"))
+    sent = sent.select(*(x.alias(n) for n, x in at.items()), (F.col("v").cast("double") * F.col("_r.w")).alias("_x"))
     if not periodic:
         for n, size in zip(a.index, a.dims, strict=True):
             sent = sent.where(F.col(n).between(0, size - 1))
     total = sent.groupBy(*a.index).agg(F.sum("_x").alias("v"))
     if not periodic and tuple([0] * a.ndim) not in {tuple(o) for o in weights}:
         total = a.df.select(*a.index).join(total, a.index, "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
-    return a.with_df(total.withColumn("v", N.narrowed(V, a.dtype)))
+    return a.with_df(total.withColumn("v", N.narrowed(F.col("v"), a.dtype)))
 
 
 def cross(ndim: int, center: float, side: float) -> dict[tuple[int, ...], float]:

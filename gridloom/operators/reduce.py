@@ -11,8 +11,6 @@ from gridloom.functions.index import Box, check_box, full, inside, linear, shape
 from gridloom.operators.elementwise import placed, step_divide_value, stepb_divide_value, zipped
 from gridloom.plans.engine import Array
 
-V = F.col("v")
-
 
 def scalar(value, a: Array):
     if a.dtype.kind == "complex":
@@ -54,7 +52,7 @@ def check_norm(a: Array) -> None:
 def norm_frame(a: Array) -> DataFrame:
     """norm1: the sum, norm_inf: the largest of the absolute values of all elements (not the operator norms)."""
     check_norm(a)
-    size = N.modulus(V, a.dtype).cast("long" if a.dtype.kind == "int" else "double")
+    size = N.modulus(F.col("v"), a.dtype).cast("long" if a.dtype.kind == "int" else "double")
     return a.df.agg(F.sum(size).alias("norm1"), F.max(size).alias("norm_inf"))
 
 
@@ -71,11 +69,11 @@ def select_frame(a: Array, op: str, box: Box | None = None) -> DataFrame:
     if op not in ("min", "max"):
         raise ValueError(f"select takes min or max, not {op!r}")
     df = a.df.where(inside(check_box(box, a.dims))) if box else a.df
-    key = N.square(V) if a.dtype.kind == "complex" else V
+    key = N.square(F.col("v")) if a.dtype.kind == "complex" else F.col("v")
     if op == "min":
-        best = F.min(F.struct(key.alias("key"), linear(a.dims).alias("lin"), V.alias("v")))
+        best = F.min(F.struct(key.alias("key"), linear(a.dims).alias("lin"), F.col("v").alias("v")))
         return df.agg(best.alias("x")).select(F.col("x.v").alias("v"), F.col("x.lin").alias("lin"))
-    best = F.max(F.struct(key.alias("key"), (-linear(a.dims)).alias("neg"), V.alias("v")))
+    best = F.max(F.struct(key.alias("key"), (-linear(a.dims)).alias("neg"), F.col("v").alias("v")))
     return df.agg(best.alias("x")).select(F.col("x.v").alias("v"), (-F.col("x.neg")).alias("lin"))
 
 
@@ -147,7 +145,7 @@ def global_op(x: DataFrame, op: str, group: str | None = None) -> DataFrame:
         raise ValueError(f"unknown operation {op!r}")
     keys = [group, "k"] if group else ["k"]
     kind = dict(x.dtypes)["v"]
-    return x.groupBy(*keys).agg(GLOBAL_OPS[op](V).cast(kind).alias("v"))
+    return x.groupBy(*keys).agg(GLOBAL_OPS[op](F.col("v")).cast(kind).alias("v"))
 
 
 def broadcast_from(x: DataFrame, root: int, processes: list[int]) -> DataFrame:
@@ -162,8 +160,8 @@ def merge_mirrored(replicas: list[Array]) -> Array:
     df = first.df
     for r in replicas[1:]:
         df = df.unionByName(r.df)
-    total = df.groupBy(*first.index).agg(N.wide_sum(V, first.dtype).alias("v"))
-    return first.with_df(total.withColumn("v", N.narrowed(V, first.dtype)))
+    total = df.groupBy(*first.index).agg(N.wide_sum(F.col("v"), first.dtype).alias("v"))
+    return first.with_df(total.withColumn("v", N.narrowed(F.col("v"), first.dtype)))
 
 
 def merge_distr_patch(replicas: list[Array], source: Box, b: Array, target: Box) -> Array:
@@ -174,6 +172,6 @@ def merge_distr_patch(replicas: list[Array], source: Box, b: Array, target: Box)
 
 
 def num_nonzeros(a: Array) -> int:
-    return a.df.where(N.nonzero(V, a.dtype)).count()
+    return a.df.where(N.nonzero(F.col("v"), a.dtype)).count()
 
 

@@ -12,8 +12,6 @@ from gridloom.operators.elementwise import upsert
 from gridloom.plans.engine import Array
 from gridloom.plans.prefix import BLOCK, numbered, running_sums, segmented_sums
 
-V = F.col("v")
-
 
 def check_scan(src: Array, dst: Array, mask: Array, lo: int, hi: int) -> None:
     if src.ndim != 1 or dst.ndim != 1 or mask.ndim != 1:
@@ -39,7 +37,7 @@ def together(d: DType, column) -> Column:
 
 def masked(src: Array, mask: Array, lo: int, hi: int) -> DataFrame:
     """k (0 at lo), v and bit of the range."""
-    rows = src.df.where(inside(([lo], [hi]))).join(mask.df.where(inside(([lo], [hi]))).select("i0", N.nonzero(V, mask.dtype).alias("bit")), "i0")
+    rows = src.df.where(inside(([lo], [hi]))).join(mask.df.where(inside(([lo], [hi]))).select("i0", N.nonzero(F.col("v"), mask.dtype).alias("bit")), "i0")
     return rows.select((F.col("i0") - lo).alias("k"), "v", "bit")
 
 
@@ -48,7 +46,7 @@ def scan_add(src: Array, dst: Array, mask: Array, lo: int, hi: int, exclusive: b
     check_scan(src, dst, mask, lo, hi)
     d = src.dtype
     rows = masked(src, mask, lo, hi)
-    own = parts_of(V, d)
+    own = parts_of(F.col("v"), d)
     if exclusive:  # the inclusive sum of the cells one place on, with 0 at every bit
         before = src.df.where(inside(([lo], [hi]))).select((F.col("i0") - lo + 1).alias("k"), *(c.alias(n) for n, c in own.items()))
         rows = rows.select("k", "bit").join(before, "k", "left")
@@ -62,7 +60,7 @@ def scan_add(src: Array, dst: Array, mask: Array, lo: int, hi: int, exclusive: b
 def scan_copy(src: Array, dst: Array, mask: Array, lo: int, hi: int, block: int = BLOCK) -> Array:
     """The source at the last set bit; 0 before the first bit of lo..hi."""
     check_scan(src, dst, mask, lo, hi)
-    own = parts_of(V, src.dtype)
+    own = parts_of(F.col("v"), src.dtype)
     zero = F.lit(0)
     rows = masked(src, mask, lo, hi).select("k", "bit", *(F.when(F.col("bit"), c).otherwise(zero).alias(n) for n, c in own.items()))
     out = segmented_sums(rows, hi - lo + 1, list(own), block)  # a segment has one number that isn't 0
@@ -72,7 +70,7 @@ def scan_copy(src: Array, dst: Array, mask: Array, lo: int, hi: int, block: int
 
 def ranked(mask: Array, lo: int, hi: int, block: int) -> DataFrame:
     """i0 and rank (from 0) of the masked cells."""
-    bits = mask.df.where(inside(([lo], [hi]))).select((F.col("i0") - lo).alias("k"), N.nonzero(V, mask.dtype).cast("long").alias("on"))
+    bits = mask.df.where(inside(([lo], [hi]))).select((F.col("i0") - lo).alias("k"), N.nonzero(F.col("v"), mask.dtype).cast("long").alias("on"))
     return running_sums(bits, hi - lo + 1, ["on"], block).where("on = 1").select((F.col("k") + lo).alias("i0"), (F.col("sum_on") - 1).alias("rank"))
 
 

@@ -12,8 +12,6 @@ from gridloom.functions import numbers as N
 from gridloom.functions.dtypes import DType, as_dtype
 from gridloom.plans.engine import Array, Engine
 
-V, I, J = F.col("v"), F.col("i"), F.col("j")
-
 
 @dataclass(frozen=True)
 class Sparse:
@@ -27,7 +25,7 @@ class Sparse:
         return replace(self, df=df.select("i", "j", "v"), **changes)
 
     def transposed(self) -> Sparse:
-        return self.with_df(self.df.select(J.alias("i"), I.alias("j"), "v"), dims=self.dims[::-1])
+        return self.with_df(self.df.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), dims=self.dims[::-1])
 
 
 def create(engine: Engine, idim: int, jdim: int, dtype: str | DType, n_blocks: int | None = None) -> Sparse:
@@ -41,8 +39,8 @@ def create(engine: Engine, idim: int, jdim: int, dtype: str | DType, n_blocks: i
 
 def from_frame(engine: Engine, df: DataFrame, idim: int, jdim: int, dtype: str | DType) -> Sparse:
     empty = create(engine, idim, jdim, dtype)
-    v = V if empty.dtype.kind == "complex" else V.cast(empty.dtype.spark)
-    return empty.with_df(df.select(I.cast("long").alias("i"), J.cast("long").alias("j"), v.alias("v")))
+    v = F.col("v") if empty.dtype.kind == "complex" else F.col("v").cast(empty.dtype.spark)
+    return empty.with_df(df.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), v.alias("v")))
 
 
 def add_elements(s: Sparse, elements: DataFrame | Iterable[tuple]) -> Sparse:
@@ -53,7 +51,7 @@ def add_elements(s: Sparse, elements: DataFrame | Iterable[tuple]) -> Sparse:
             if not (0 <= i < s.dims[0] and 0 <= j < s.dims[1]):
                 raise ValueError(f"element {i}, {j} is outside {s.dims}")
         elements = s.engine.spark.createDataFrame(rows, s.df.schema)
-    return s.with_df(s.df.unionByName(elements.select("i", "j", V.cast(s.dtype.spark).alias("v"))))
+    return s.with_df(s.df.unionByName(elements.select("i", "j", F.col("v").cast(s.dtype.spark).alias("v"))))
 
 
 def block_of(x: Column, size: int, n: int) -> Column:
@@ -63,7 +61,7 @@ def block_of(x: Column, size: int, n: int) -> Column:
 
 def assemble(s: Sparse) -> Sparse:
     """Rows dealt by row block, so that later operations by row find them together."""
-    return s.with_df(s.df.repartition(s.n_blocks, block_of(I, s.dims[0], s.n_blocks), I))
+    return s.with_df(s.df.repartition(s.n_blocks, block_of(F.col("i"), s.dims[0], s.n_blocks), F.col("i")))
 
 
 def row_distribution(s: Sparse, process: int) -> tuple[int, int]:
@@ -82,12 +80,12 @@ def _range(size: int, n: int, b: int) -> tuple[int, int]:
 
 def column_blocks(s: Sparse, process: int) -> DataFrame:
     """The column blocks that aren't empty in a process' rows."""
-    own = s.df.where(block_of(I, s.dims[0], s.n_blocks) == process)
-    return own.select(block_of(J, s.dims[1], s.n_blocks).alias("block")).distinct()
+    own = s.df.where(block_of(F.col("i"), s.dims[0], s.n_blocks) == process)
+    return own.select(block_of(F.col("j"), s.dims[1], s.n_blocks).alias("block")).distinct()
 
 
 def get_block(s: Sparse, row_block: int, column_block: int) -> DataFrame:
-    return s.df.where((block_of(I, s.dims[0], s.n_blocks) == row_block) & (block_of(J, s.dims[1], s.n_blocks) == column_block))
+    return s.df.where((block_of(F.col("i"), s.dims[0], s.n_blocks) == row_block) & (block_of(F.col("j"), s.dims[1], s.n_blocks) == column_block))
 
 
 def compressed_rows(s: Sparse, row_block: int, column_block: int) -> DataFrame:
@@ -100,18 +98,18 @@ def from_dense(a: Array) -> Sparse:
     """Elements that aren't 0, and the whole diagonal."""
     if a.ndim != 2:
         raise ValueError("a matrix is needed")
-    kept = a.df.where(N.nonzero(V, a.dtype) | (F.col("i0") == F.col("i1")))
+    kept = a.df.where(N.nonzero(F.col("v"), a.dtype) | (F.col("i0") == F.col("i1")))
     return Sparse(kept.select(F.col("i0").alias("i"), F.col("i1").alias("j"), "v"), a.dims, a.dtype, a.engine, a.engine.n_processes)
 
 
 def summed(df: DataFrame, keys: list[str], d: DType) -> DataFrame:
-    return df.groupBy(*keys).agg(N.wide_sum(V, d).alias("v")).withColumn("v", N.narrowed(V, d))
+    return df.groupBy(*keys).agg(N.wide_sum(F.col("v"), d).alias("v")).withColumn("v", N.narrowed(F.col("v"), d))
 
 
 def densified(df: DataFrame, engine: Engine, dims: tuple[int, ...], d: DType, keys: list[str]) -> Array:
     """Zeros where df has no row."""
     zeros = engine.create(dims, d)
-    found = summed(df, keys, d).select(*(F.col(k).alias(f"i{n}") for n, k in enumerate(keys)), V.alias("_x"))
+    found = summed(df, keys, d).select(*(F.col(k).alias(f"i{n}") for n, k in enumerate(keys)), F.col("v").alias("_x"))
     every = zeros.df.join(found, zeros.index, "left").withColumn("v", F.coalesce("_x", "v"))
     return engine.from_df(every, dims, d)
 
@@ -131,11 +129,11 @@ def destroy(s: Sparse) -> None:
 def get_column(s: Sparse, j: int) -> Array:
     if not 0 <= j < s.dims[1]:
         raise ValueError(f"column {j}")
-    return densified(s.df.where(J == j), s.engine, (s.dims[0],), s.dtype, ["i"])
+    return densified(s.df.where(F.col("j") == j), s.engine, (s.dims[0],), s.dtype, ["i"])
 
 
 def get_diag(s: Sparse) -> Array:
-    return densified(s.df.where(I == J), s.engine, (min(s.dims),), s.dtype, ["i"])
+    return densified(s.df.where(F.col("i") == F.col("j")), s.engine, (min(s.dims),), s.dtype, ["i"])
 
 
 def check_vector(s: Sparse, x: Array, n: int) -> None:
@@ -146,24 +144,24 @@ def check_vector(s: Sparse, x: Array, n: int) -> None:
 def diag_left_multiply(s: Sparse, d: Array) -> Sparse:
     """v[i, j] *= d[i]."""
     check_vector(s, d, s.dims[0])
-    w = d.df.select(F.col("i0").alias("i"), V.alias("_w"))
-    return s.with_df(s.df.join(w, "i").withColumn("v", N.mul(V, F.col("_w"), s.dtype)))
+    w = d.df.select(F.col("i0").alias("i"), F.col("v").alias("_w"))
+    return s.with_df(s.df.join(w, "i").withColumn("v", N.mul(F.col("v"), F.col("_w"), s.dtype)))
 
 
 def diag_right_multiply(s: Sparse, d: Array) -> Sparse:
     """v[i, j] *= d[j]."""
     check_vector(s, d, s.dims[1])
-    w = d.df.select(F.col("i0").alias("j"), V.alias("_w"))
-    return s.with_df(s.df.join(w, "j").withColumn("v", N.mul(V, F.col("_w"), s.dtype)))
+    w = d.df.select(F.col("i0").alias("j"), F.col("v").alias("_w"))
+    return s.with_df(s.df.join(w, "j").withColumn("v", N.mul(F.col("v"), F.col("_w"), s.dtype)))
 
 
 def shift_diag(s: Sparse, c) -> Sparse:
     """Stored diagonal elements grow by c."""
-    return s.with_df(s.df.withColumn("v", F.when(I == J, N.add(V, N.constant(c, s.dtype), s.dtype)).otherwise(V)))
+    return s.with_df(s.df.withColumn("v", F.when(F.col("i") == F.col("j"), N.add(F.col("v"), N.constant(c, s.dtype), s.dtype)).otherwise(F.col("v"))))
 
 
 def scale(s: Sparse, c) -> Sparse:
-    return s.with_df(s.df.withColumn("v", N.mul(V, N.constant(c, s.dtype), s.dtype)))
+    return s.with_df(s.df.withColumn("v", N.mul(F.col("v"), N.constant(c, s.dtype), s.dtype)))
 
 
 def wide_mul(a: Column, b: Column, d: DType) -> Column:
@@ -177,8 +175,8 @@ def wide_mul(a: Column, b: Column, d: DType) -> Column:
 
 def multiplied(a: DataFrame, b: DataFrame, d: DType) -> DataFrame:
     """(i, j, v) of the product of two (i, j, v) frames; sums that cancel stay as zeros."""
-    left = a.select("i", J.alias("_k"), V.alias("_a"))
-    right = b.select(I.alias("_k"), "j", V.alias("_b"))
+    left = a.select("i", F.col("j").alias("_k"), F.col("v").alias("_a"))
+    right = b.select(F.col("i").alias("_k"), "j", F.col("v").alias("_b"))
     pairs = left.join(right, "_k").select("i", "j", wide_mul(F.col("_a"), F.col("_b"), d).alias("v"))
     return summed(pairs, ["i", "j"], d)
 
@@ -186,8 +184,8 @@ def multiplied(a: DataFrame, b: DataFrame, d: DType) -> DataFrame:
 def matvec_multiply(s: Sparse, x: Array) -> Array:
     """y = A x; rows without elements give 0."""
     check_vector(s, x, s.dims[1])
-    w = x.df.select(F.col("i0").alias("j"), V.alias("_w"))
-    pairs = s.df.join(w, "j").select("i", wide_mul(V, F.col("_w"), s.dtype).alias("v"))
+    w = x.df.select(F.col("i0").alias("j"), F.col("v").alias("_w"))
+    pairs = s.df.join(w, "j").select("i", wide_mul(F.col("v"), F.col("_w"), s.dtype).alias("v"))
     return densified(pairs, s.engine, (s.dims[0],), s.dtype, ["i"])
 
 
@@ -221,7 +219,7 @@ def dense_sparse_multiply(a: Array, b: Sparse, trans: bool = False) -> Array:
 
 
 def num_nonzeros(s: Sparse) -> int:
-    return s.df.where(N.nonzero(V, s.dtype)).count()
+    return s.df.where(N.nonzero(F.col("v"), s.dtype)).count()
 
 
 def count_sketch(s: Sparse, k: int, seed: int = 1, trans: bool = False) -> tuple[Array, DataFrame]:
@@ -231,8 +229,8 @@ def count_sketch(s: Sparse, k: int, seed: int = 1, trans: bool = False) -> tuple
     if s.dtype.kind == "complex":
         raise ValueError("sketches take real types")
     s = s.transposed() if trans else s
-    label, sign = sketch_hash(I, k, seed)
-    rows = s.df.select(label.alias("i"), "j", (V * sign).alias("v"))
+    label, sign = sketch_hash(F.col("i"), k, seed)
+    rows = s.df.select(label.alias("i"), "j", (F.col("v") * sign).alias("v"))
     rules = s.engine.spark.range(s.dims[0]).select(F.col("id").alias("i"))
     return densified(rows, s.engine, (k, s.dims[1]), s.dtype, ["i", "j"]), rules.select("i", label.alias("label"), sign.alias("sign"))
 
@@ -245,8 +243,8 @@ def export_lines(s: Sparse) -> DataFrame:
     """Lines of a MatrixMarket coordinate file, with `n`, their place: the header and then elements by row and column."""
     d = s.dtype
     number = lambda c: F.format_string("%14.6e", c.cast("double"))
-    value = F.concat_ws(" ", number(V["re"]), number(V["im"])) if d.kind == "complex" else V.cast("string") if d.kind == "int" else number(V)
-    body = s.df.select(I.alias("_i"), J.alias("_j"), F.concat_ws(" ", (I + 1).cast("string"), (J + 1).cast("string"), value).alias("value"))
+    value = F.concat_ws(" ", number(F.col("v")["re"]), number(F.col("v")["im"])) if d.kind == "complex" else F.col("v").cast("string") if d.kind == "int" else number(F.col("v"))
+    body = s.df.select(F.col("i").alias("_i"), F.col("j").alias("_j"), F.concat_ws(" ", (F.col("i") + 1).cast("string"), (F.col("j") + 1).cast("string"), value).alias("value"))
     first = s.df.agg(F.count(F.lit(1)).alias("c")).select(F.lit(-1).cast("long").alias("_i"), F.lit(0).cast("long").alias("_j"), F.concat(F.lit(f"%%MatrixMarket matrix coordinate {'complex' if d.kind == 'complex' else 'real'} general\n{s.dims[0]} {s.dims[1]} "), F.col("c").cast("string")).alias("value"))
     return first.unionByName(body)
 
