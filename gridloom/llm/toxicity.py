@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear model over rates of hashed byte n-grams is trained in numpy from confirmed toxic examples and unlabelled text.
+A linear model over square roots of the rates of hashed byte n-grams is trained in numpy from confirmed toxic examples and unlabelled text.
 The risk is the class-prior-corrected estimate; where its negative part falls below zero, the step goes against it.
 
 Learning reads bounded samples, taken by hash: at most MOST_POSITIVE confirmed toxic documents and MOST_UNLABELLED
@@ -28,13 +28,15 @@ SAMPLE_PARTS = 8
 GRAMS = (5, 7)
 BUCKET_BITS = 17
 BUCKETS = 1 << BUCKET_BITS
-FEATURES = 192
+FEATURES = 256
 #: A feature occurs in at least so many confirmed examples (and this share of them) and differs by so many deviations.
-LEAST_EXAMPLES, LEAST_SHARE, LEAST_STRENGTH = 4, 0.015, 5.0
+LEAST_EXAMPLES, LEAST_SHARE, LEAST_STRENGTH = 4, 0.01, 4.0
 #: A rate above this says no more: one repeated word is no more toxic.
 MOST_RATE = 0.05
 #: Words that are added to a text's length: in a short text one chance n-gram weighs less.
 SMOOTHING = 30
+#: Parts of the sample that are scored, for the limit, by a model which hasn't seen them.
+CROSS_PARTS = 4
 DEFAULT_PRIOR = 0.05
 SEED = 3
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -83,7 +85,7 @@ def counted(text: bytes, of: np.ndarray | None, size: int) -> tuple[np.ndarray,
 
 
 def rates(counts: np.ndarray, words: int) -> np.ndarray:
-    return np.minimum(counts / (words + SMOOTHING), MOST_RATE)
+    return np.sqrt(np.minimum(counts / (words + SMOOTHING), MOST_RATE))
 
 
 @dataclass
@@ -100,7 +102,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, epochs: int = 60, batch: int = 512, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, epochs: int = 150, batch: int = 512, rate: float = 0.05, decay: float = 3e-3) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise prior * E_p[l(z)] + max(0, E_u[l(-z)] - prior * E_p[l(-z)]), l the logistic loss."""
     rng = np.random.default_rng(SEED)
     w, b = np.zeros(positive.shape[1]), float(np.log(prior / (1 - prior)))
@@ -205,9 +207,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     x = np.array([np.frombuffer(r.x, np.float32) for r in rows], np.float64)
     is_p, is_u = np.array([r.p for r in rows], bool), np.array([r.u for r in rows], bool)
     scale = x[is_u].std(axis=0) + x[is_p].std(axis=0) + 1e-6
+    part, unseen = np.arange(len(x)) % CROSS_PARTS, np.zeros(len(x))
+    for k in range(CROSS_PARTS):
+        rest = part != k
+        if (is_p & rest).any() and (is_u & rest).any():
+            w, b = nnpu(x[is_p & rest] / scale, x[is_u & rest] / scale, prior)
+            unseen[~rest] = x[~rest] @ (w / scale) + b
     w, b = nnpu(x[is_p] / scale, x[is_u] / scale, prior)
-    w = w / scale
-    return Model(of, w, b - best_limit(x[is_p] @ w + b, x[is_u] @ w + b))
+    return Model(of, w / scale, b - best_limit(unseen[is_p], unseen[is_u]))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
