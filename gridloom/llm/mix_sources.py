@@ -6,7 +6,7 @@ meets its budget. A budget above the source's size repeats whole epochs first.
 
 Defined results: a null text has size 0; a null source is a source of its own, ordered last; documents of size 0 and
 sources of total 0 take 0; repeated rows follow one another in the order; an empty table gives no rows. Columns of the
-input may have any names: the operator's own start with ``_mix_`` until they are renamed.
+input may have any names: they travel in one struct, apart from the operator's own.
 """
 
 from __future__ import annotations
@@ -25,10 +25,6 @@ BUCKET_ROWS = 20_000
 SEED = 20_240_229
 
 
-def with_sizes(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.withColumn("_mix_size", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)).cast("long"), F.lit(0).cast("long")))
-
-
 def numbered(sources: DataFrame, most: int = 50_000) -> DataFrame:
     """_mix_rank: the place of a source by code point, null last; ranges are ranked apart and then joined."""
     parts = max(1, -(-sources.count() // most))
@@ -60,52 +56,54 @@ def shares(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     return ranked.select("source", "_mix_total", F.least(limit.cast("double"), F.col("_mix_weight") * F.lit(level.numerator / level.denominator)).alias("_mix_target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """docs with _mix_size, _mix_source_size, _mix_target and _mix_taken; needs doc_id and source, and text or _mix_size."""
-    sized = docs if "_mix_size" in docs.columns else with_sizes(docs)
-    slim = sized.groupBy("source").agg(F.sum("_mix_size").alias("_mix_total"), F.count(F.lit(1)).alias("_mix_n"))
+def sized(docs: DataFrame, *more) -> DataFrame:
+    """doc_id, source, _mix_size and further columns of the operator's own: nothing of the input can clash with them."""
+    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+    return docs.select("doc_id", "source", size.alias("_mix_size"), *more)
+
+
+def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """rows (as sized() gives them) with _mix_total (the source's), _mix_target, _mix_taken, _mix_epochs and _mix_part."""
+    slim = rows.groupBy("source").agg(F.sum("_mix_size").alias("_mix_total"), F.count(F.lit(1)).alias("_mix_n"))
     sources = written(slim, "mix-totals")
-    rows = int(sources.agg(F.sum("_mix_n")).first()[0] or 0)
+    n_rows = int(sources.agg(F.sum("_mix_n")).first()[0] or 0)
     goals = shares(sources.drop("_mix_n"), weights)
     goals = goals.select(F.col("source").alias("_mix_source"), "_mix_total", "_mix_target", F.floor("_mix_target").alias("_mix_budget"))
-    buckets = max(1, -(-rows // BUCKET_ROWS))
+    buckets = max(1, -(-n_rows // BUCKET_ROWS))
     group = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source"))  # a join key without nulls
-    key = F.xxhash64(F.lit(SEED), "doc_id")
-    keyed = sized.withColumn("_mix_key", key).withColumn("_mix_group", group).withColumn("_mix_bucket", F.floor(F.shiftrightunsigned("_mix_key", 11) / float(1 << 53) * buckets))
+    key = F.xxhash64(F.lit(SEED), "doc_id", "_mix_size")  # the size spreads rows without an id
+    keyed = rows.withColumn("_mix_key", key).withColumn("_mix_group", group).withColumn("_mix_bucket", F.floor(F.shiftrightunsigned("_mix_key", 11) / float(1 << 53) * buckets))
     sums = keyed.groupBy("_mix_group", "_mix_bucket").agg(F.sum("_mix_size").alias("_mix_sum"))
     before = Window.partitionBy("_mix_group").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("_mix_start", F.coalesce(F.sum("_mix_sum").over(before), F.lit(0))).drop("_mix_sum")
     goals = goals.withColumn("_mix_group", F.when(F.col("_mix_source").isNull(), "n").otherwise(F.concat(F.lit("s"), "_mix_source"))).drop("_mix_source")
     joined = keyed.join(starts.join(goals, "_mix_group"), ["_mix_group", "_mix_bucket"])
-    within = Window.partitionBy("_mix_group", "_mix_bucket").orderBy("_mix_key", "doc_id", "_mix_size").rowsBetween(Window.unboundedPreceding, -1)
+    ties = [c for c in ("_mix_tie",) if c in rows.columns]
+    within = Window.partitionBy("_mix_group", "_mix_bucket").orderBy("_mix_key", "doc_id", "_mix_size", *ties).rowsBetween(Window.unboundedPreceding, -1)
     prefix = F.col("_mix_start") + F.coalesce(F.sum("_mix_size").over(within), F.lit(0))
     epochs = F.when(F.col("_mix_total") > 0, F.expr("_mix_budget div _mix_total")).otherwise(F.lit(0).cast("long"))
     rest = F.col("_mix_budget") - epochs * F.col("_mix_total")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("_mix_size"), rest - prefix))
-    own = [c for c in docs.columns if not c.startswith("_mix_")]
-    return joined.select(
-        *own, "_mix_size", F.col("_mix_total").alias("_mix_source_size"), "_mix_target",
-        (epochs * F.col("_mix_size") + part).alias("_mix_taken"), epochs.alias("_mix_epochs"), part.alias("_mix_part"),
-    )
+    return joined.select(*rows.columns, "_mix_total", "_mix_target", (epochs * F.col("_mix_size") + part).alias("_mix_taken"), epochs.alias("_mix_epochs"), part.alias("_mix_part"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The mix itself, with the columns of docs: a row per epoch that takes a document, cut to the words it takes."""
-    out = mix(docs, weights)
-    out = out.withColumn("_mix_copies", F.expr("array_repeat(_mix_size, cast(_mix_epochs as int))"))
-    out = out.withColumn("_mix_copies", F.when(F.col("_mix_part") > 0, F.array_append("_mix_copies", F.col("_mix_part"))).otherwise(F.col("_mix_copies")))
-    out = out.where(F.col("_mix_size") > 0).withColumn("_mix_words", F.explode("_mix_copies"))
-    first = F.expr(r"array_join(slice(regexp_extract_all(text, '([^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*)', 1), 1, cast(_mix_words as int)), '')")
-    text = F.when(F.col("_mix_words") < F.col("_mix_size"), first).otherwise(F.col("text"))
-    columns = [c for c in docs.columns if not c.startswith("_mix_")]
-    out = out.withColumn("_mix_text", text)
-    kept = {"text": F.col("_mix_text").alias("text")}
-    if "n_chars" in columns:
-        kept["n_chars"] = F.when(F.col("_mix_words") < F.col("_mix_size"), F.length("_mix_text").cast("long")).otherwise(F.col("n_chars").cast("long")).alias("n_chars")
-    return out.select(*(kept.get(c, F.col(c)) for c in columns))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_mix_row")
+    out = mix(sized(docs, F.xxhash64("text").alias("_mix_tie"), row), weights).where(F.col("_mix_size") > 0)
+    whole = F.array_repeat("_mix_size", F.col("_mix_epochs").cast("int"))
+    copies = F.when(F.col("_mix_part") > 0, F.array_append(whole, F.col("_mix_part"))).otherwise(whole)
+    out = out.select("_mix_row", "_mix_size", F.explode(copies).alias("_mix_words"))
+    first = F.expr(r"array_join(slice(regexp_extract_all(_mix_row.text, '([^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*)', 1), 1, cast(_mix_words as int)), '')")
+    cut = F.col("_mix_words") < F.col("_mix_size")
+    out = out.withColumn("_mix_text", F.when(cut, first).otherwise(F.col("_mix_row.text")))
+    kinds = {f.name: f.dataType for f in docs.schema}
+    kept = {"text": F.col("_mix_text")}
+    if "n_chars" in kinds:
+        kept["n_chars"] = F.when(cut, F.length("_mix_text").cast(kinds["n_chars"])).otherwise(F.col("_mix_row")["n_chars"])
+    return out.select(*(kept.get(c, F.col("_mix_row")[c]).alias(c) for c in docs.columns))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slim = written(with_sizes(table(spark, sf_dir, "documents")).select("doc_id", "source", "_mix_size"), "mix-sizes")
-    out = mix(slim)
-    return out.select("doc_id", F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), F.col("_mix_taken").alias("taken"))
+    out = mix(written(sized(table(spark, sf_dir, "documents")), "mix-sizes"))
+    return out.select("doc_id", F.col("_mix_size").alias("size"), F.col("_mix_total").alias("source_size"), F.col("_mix_target").alias("target"), F.col("_mix_taken").alias("taken"))

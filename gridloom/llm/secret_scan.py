@@ -172,7 +172,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     tests = docs.select(tokens.alias("_sec_tokens")).where("_sec_tokens IS NOT NULL")
     bounds = limits(tests.select(F.explode(F.expr(RANDOM_SQL)).alias("t")).where("t IS NOT NULL").select("t.*"))
     bound = F.create_map(*(F.lit(x) for pair in bounds.items() for x in pair)) if bounds else F.create_map(F.lit(""), F.lit(2.0))
-    out = docs.withColumn("_sec_text", F.col("text"))
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_sec_row"), F.col("text").alias("_sec_text"))
 
     def replaced(pattern: str, there: Column, keep: Column) -> Column:
         parts = F.split("_sec_text", pattern, -1)
@@ -189,8 +189,11 @@ def redacted(docs: DataFrame) -> DataFrame:
     out = out.withColumn("_sec_tests", F.expr(RANDOM_SQL))
     shown = F.zip_with("_sec_tokens", "_sec_tests", lambda w, t: F.when(F.coalesce(t["p"] >= F.element_at(bound, F.concat_ws(":", t["enc"], t["size"].cast("string"))), F.lit(False)), F.lit(REDACTED)).otherwise(w))
     out = out.withColumn("_sec_text", replaced(TOKEN, F.col("_sec_tokens").isNotNull(), shown))
-    kept = {"text": F.col("_sec_text").alias("text"), "n_chars": F.when(F.col("_sec_text") == F.col("text"), F.col("n_chars")).otherwise(F.length("_sec_text")).cast("long").alias("n_chars") if "n_chars" in docs.columns else None}
-    return out.select(*(kept.get(c, F.col(c)) for c in docs.columns))
+    kinds, row = {f.name: f.dataType for f in docs.schema}, F.col("_sec_row")
+    kept = {"text": F.col("_sec_text")}
+    if "n_chars" in kinds:
+        kept["n_chars"] = F.when(F.col("_sec_text") == row["text"], row["n_chars"]).otherwise(F.length("_sec_text").cast(kinds["n_chars"]))
+    return out.select(*(kept.get(c, row[c]).alias(c) for c in docs.columns))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

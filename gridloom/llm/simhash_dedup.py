@@ -230,12 +230,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose id heads a component: one row each, with the columns of docs. Rows without an id all stay."""
-    found = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_sim_id")).distinct()
-    kept = docs.join(found, docs["doc_id"] == F.col("_sim_id"), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = kept.withColumn("_sim_n", F.row_number().over(first)).where("_sim_n = 1").drop("_sim_n")
-    return kept.unionByName(docs.where(docs["doc_id"].isNull()))
+    """The documents whose id heads a component: one row each, with the columns of docs. Rows without an id all stay.
+
+    Of rows that share an id, the one whose text has the smallest hash stays.
+    """
+    heads = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    kept = rows.where(F.col("doc_id").isNotNull()).join(heads, "doc_id", "left_semi")
+    first = Window.partitionBy("doc_id").orderBy("tie")
+    kept = kept.withColumn("n", F.row_number().over(first)).where("n = 1")
+    return kept.select("row.*").unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
