@@ -16,6 +16,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ PRECISION = 0.99
 UNKNOWN = "und"
 SEED = 6
 _PIECE = 1 << 19
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 _BLANK = bytes(32 if c < 65 or 91 <= c <= 96 or 123 <= c <= 127 else c for c in range(256))
 
