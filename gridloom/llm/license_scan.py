@@ -23,7 +23,6 @@ HINT = re.compile(rb"licen[sc]e|spdx|warrant|permission is|permission to|redistr
 _VERSION = r"(?: (?:v |version |v)?(\d+(?: \d+)*))"
 #: Identifier and pattern of each known sentence, over normalised text; `{}` takes the version. The first that fits holds.
 SENTENCES = [
-    ("Spdx", r"spdx license identifier (.+)"),
     ("ApacheGrant", rf"(?:this (?:work|file|project|software) is )?licensed under the apache license{_VERSION}?(?: the license)?"),
     ("ApacheUse", r"you may not use this file except in compliance with the license"),
     ("ApacheCopy", r"you may obtain a copy of the license at(?: .*)?"),
@@ -83,6 +82,8 @@ RULES = [
     ("", ("Spdx",)),
 ]
 _END = re.compile(r"[.;!?](?=\s|$)|\n\s*\n|(?<![,\w-])\n|\n(?=[A-Z0-9*#/ ]*[A-Z])")
+#: A tag line is a sentence of its own, and what it says is kept as it is written.
+_TAG = re.compile(r"SPDX-License-Identifier:[^\S\n]*([A-Za-z0-9.+():-]+(?: (?:AND|OR|WITH) [A-Za-z0-9.+():-]+)*)[^\n]*", re.I)
 _OTHER = re.compile(r"[^a-z0-9]+")
 _DOTS = re.compile(r"(?<=\d)\.(?=\d)")
 _SHORT = {"attribution": "by", "noncommercial": "nc", "sharealike": "sa", "noderivatives": "nd"}
@@ -105,15 +106,26 @@ def identify(sentence: str) -> tuple[str, str] | None:
     return None
 
 
-def named(licence: str, said: str, original: str) -> str:
+def identified(text: str) -> list[tuple[str, str]]:
+    """The identifiers of a text's known sentences, in order."""
+    found, at = [], 0
+    for tag in [*_TAG.finditer(text), None]:
+        found += [x for s in sentences(text[at : tag.start() if tag else len(text)]) if (x := identify(s))]
+        if tag:
+            found.append(("Spdx", tag[1]))
+            at = tag.end()
+    return found
+
+
+def named(licence: str, said: str) -> str:
+    if licence == "":
+        return said
     plus = said.endswith("+")
     said = said.rstrip("+")
     if licence == "CC":
         words = [_SHORT.get(w, w) for w in said.split()]
         kinds, numbers = [w for w in words if not w.isdigit()], [w for w in words if w.isdigit()]
         return "-".join(["CC", "-".join(kinds).upper(), ".".join(numbers)]).rstrip("-")
-    if licence == "":
-        return original.strip()
     numbers = said.replace(" ", ".")
     return "-".join(x for x in (licence, numbers) if x) + ("+" if plus else "")
 
@@ -128,7 +140,7 @@ def licences(found: list[tuple[str, str]]) -> tuple[list[str], list[str]]:
             if tuple(names[i : i + len(rule)]) == rule and not any(taken[i : i + len(rule)]):
                 taken[i : i + len(rule)] = [licence or "Spdx"] * len(rule)
                 said = next((s for _, s in found[i : i + len(rule)] if s), "")
-                heads.append((i, named(licence, said, said.upper().replace(" ", "-"))))
+                heads.append((i, named(licence, said)))
     return list(dict.fromkeys(x for _, x in sorted(heads))), [n for n, t in zip(names, taken, strict=True) if not t]
 
 
@@ -136,7 +148,7 @@ def scan_text(text: bytes) -> tuple[int, str, str, str]:
     """The columns of SCHEMA after doc_id."""
     if not HINT.search(text):
         return 0, "", "", ""
-    found = [x for s in sentences(text.decode("utf-8", "replace")) if (x := identify(s))]
+    found = identified(text.decode("utf-8", "replace"))
     known, rest = licences(found)
     return len(found), ",".join(n for n, _ in found), ",".join(known), ",".join(rest)
 
