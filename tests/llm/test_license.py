@@ -20,7 +20,7 @@ TEXTS = {
     "SPDX-License-Identifier: MIT\nprint(1)": "MIT",
     "This file is released under the MIT License. Other words follow.": "MIT",
     "Licensed under the GNU General Public License v3.0 or later.": "GPL-3.0+",
-    "/* SPDX-License-Identifier: GPL-2.0+ OR BSD-3-Clause */\nLicensed under the Apache License, Version 2.0\nint x;": "GPL-2.0+ OR BSD-3-Clause,Apache-2.0",
+    "/* SPDX-License-Identifier: GPL-2.0+ OR BSD-3-Clause */\nLicensed under the Apache License, Version 2.0.\nint x;": "GPL-2.0+ OR BSD-3-Clause,Apache-2.0",
     BSD: "BSD-3-Clause",
     BSD.replace("3. Neither the name of the holder nor the names of its contributors may be used to endorse or promote products derived from this software.", ""): "BSD-2-Clause",
     "This text is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
