@@ -23,6 +23,7 @@ MOST_EPOCHS = 3
 #: Documents that share a bucket of the key's range, on average; the number of buckets follows the table's size.
 BUCKET_ROWS = 20_000
 SEED = 20_240_229
+KEY_BITS = 60
 
 
 def numbered(sources: DataFrame, most: int = 50_000) -> DataFrame:
@@ -62,6 +63,12 @@ def sized(docs: DataFrame, *more) -> DataFrame:
     return docs.select("doc_id", "source", size.alias("_mix_size"), *more)
 
 
+def random_key():
+    """KEY_BITS bits of a hash of id and size (which spreads rows without an id): one that SQL engines agree on."""
+    said = F.concat_ws(":", F.lit(SEED).cast("string"), F.col("doc_id").cast("string"), F.col("_mix_size").cast("string"))
+    return F.conv(F.substring(F.md5(said.cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("long")
+
+
 def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """rows (as sized() gives them) with _mix_total (the source's), _mix_target, _mix_taken, _mix_epochs and _mix_part."""
     slim = rows.groupBy("source").agg(F.sum("_mix_size").alias("_mix_total"), F.count(F.lit(1)).alias("_mix_n"))
@@ -71,8 +78,7 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     goals = goals.select(F.col("source").alias("_mix_source"), "_mix_total", "_mix_target", F.floor("_mix_target").alias("_mix_budget"))
     buckets = max(1, -(-n_rows // BUCKET_ROWS))
     group = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source"))  # a join key without nulls
-    key = F.xxhash64(F.lit(SEED), "doc_id", "_mix_size")  # the size spreads rows without an id
-    keyed = rows.withColumn("_mix_key", key).withColumn("_mix_group", group).withColumn("_mix_bucket", F.floor(F.shiftrightunsigned("_mix_key", 11) / float(1 << 53) * buckets))
+    keyed = rows.withColumn("_mix_key", random_key()).withColumn("_mix_group", group).withColumn("_mix_bucket", F.floor(F.col("_mix_key") / float(1 << KEY_BITS) * buckets))
     sums = keyed.groupBy("_mix_group", "_mix_bucket").agg(F.sum("_mix_size").alias("_mix_sum"))
     before = Window.partitionBy("_mix_group").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("_mix_start", F.coalesce(F.sum("_mix_sum").over(before), F.lit(0))).drop("_mix_sum")
@@ -107,3 +113,28 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Data
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(written(sized(table(spark, sf_dir, "documents")), "mix-sizes"))
     return out.select("doc_id", F.col("_mix_size").alias("size"), F.col("_mix_total").alias("source_size"), F.col("_mix_target").alias("target"), F.col("_mix_taken").alias("taken"))
+
+
+ORACLE_SQL = {
+    "op4_mix_sources": rf"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+totals AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS total, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sized GROUP BY source),
+weighed AS (SELECT *, [{", ".join(map(str, WEIGHTS))}][place % {len(WEIGHTS)} + 1] AS weight FROM totals),
+ahead AS (  -- by the level at which a source is full: what the fuller ones hold and weigh
+  SELECT *, sum({MOST_EPOCHS} * total) OVER w - {MOST_EPOCHS} * total AS held, sum(weight) OVER w - weight AS gone,
+         sum(total) OVER () AS everything, sum(weight) OVER () AS weights
+  FROM weighed WINDOW w AS (ORDER BY {MOST_EPOCHS} * total / CAST(weight AS DOUBLE), place ROWS UNBOUNDED PRECEDING)),
+levels AS (SELECT CAST(everything - held AS DOUBLE) / CAST(weights - gone AS DOUBLE) AS level, {MOST_EPOCHS} * total / CAST(weight AS DOUBLE) AS full_at FROM ahead),
+chosen AS (SELECT coalesce(max(level), CAST('inf' AS DOUBLE)) AS level FROM levels WHERE level < full_at),
+goals AS (
+  SELECT source, total, least(CAST({MOST_EPOCHS} * total AS DOUBLE), weight * (SELECT CASE WHEN isinf(level) THEN 1e300 ELSE level END FROM chosen)) AS target FROM weighed),
+placed AS (
+  SELECT s.doc_id, s.size, g.total, g.target, CAST(floor(g.target) AS BIGINT) AS budget,
+         sum(s.size) OVER (PARTITION BY s.source ORDER BY CAST('0x' || substr(md5(concat_ws(':', '{SEED}', s.doc_id, s.size)), 1, {KEY_BITS // 4}) AS BIGINT), s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size AS before
+  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, total AS source_size, target,
+       CAST(CASE WHEN total = 0 THEN 0 ELSE budget // total * size + greatest(0, least(size, budget % total - before)) END AS BIGINT) AS taken
+FROM placed"""
+}

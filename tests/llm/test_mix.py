@@ -88,3 +88,10 @@ def test_mixed_documents(spark):
         taken[r.doc_id] = taken.get(r.doc_id, 0) + r["_mix_taken"]
     assert {d: n for d, n in taken.items() if n} == words
     assert M.mixed_documents(cases.empty(spark)).count() == 0
+
+
+def test_sql(spark):
+    from tests.compare import connect, from_spark, from_sql
+
+    sf = "/root/testdata/sf0.01"
+    assert from_spark(M.op4_mix_sources(spark, sf)) == from_sql(connect(sf), M.ORACLE_SQL["op4_mix_sources"])
