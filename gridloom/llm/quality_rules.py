@@ -85,6 +85,15 @@ def covered(flags: np.ndarray, n: int, n_words: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
+def top_gram(windows: np.ndarray, frequent: np.ndarray, lens: np.ndarray, n: int) -> np.uint64:
+    """Of the most frequent n-grams the one with the most characters, and of those the first in the text."""
+    if len(frequent) == 1:
+        return frequent[0]
+    ends = np.concatenate(([0], np.cumsum(lens)))
+    size = np.where(np.isin(windows, frequent), ends[n:] - ends[:-n], -1)
+    return windows[int(size.argmax())]
+
+
 def measure(text: bytes) -> tuple:
     """The columns of SCHEMA after doc_id, for one text."""
     words = text.split()
@@ -138,8 +147,7 @@ def measure(text: bytes) -> tuple:
             if most < TOP_LEAST:
                 break  # longer n-grams are no more frequent
             lens = lengths() if lens is None else lens
-            best = s[edges[int(counts.argmax())]]
-            share = float(lens[covered(windows == best, k, n)].sum()) / word_chars
+            share = float(lens[covered(windows == top_gram(windows, s[edges[:-1][counts == most]], lens, k), k, n)].sum()) / word_chars
             top_share = max(top_share, share)
             if share > limit and not worst:
                 worst = f"top_{k}_gram"
@@ -160,3 +168,43 @@ def quality(docs: DataFrame) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
+
+
+def _sql() -> str:
+    words = r"[^\x20\x09-\x0D]+"
+    limits = [(f"dup_{k}_grams", "again", k, x) for k, x in DUP_LIMITS.items()] + [(f"top_{k}_gram", "top", k, x) for k, x in TOP_LIMITS.items()]
+    share = lambda kind, k: f"coalesce(max(inside) FILTER (kind = '{kind}' AND k = {k}), 0) / CAST(any_value(chars) AS DOUBLE)"
+    rules = " ".join(f"WHEN {share(kind, k)} > {x} THEN '{name}'" for name, kind, k, x in limits)
+    most = lambda kind: f"coalesce(max(inside) FILTER (kind = '{kind}'), 0) / CAST(any_value(chars) AS DOUBLE)"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, regexp_extract_all(text, '{words}') AS ws FROM d),
+words AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+sizes AS (SELECT r, count(*) AS n, sum(length(word)) AS chars FROM words GROUP BY r),
+lines AS (SELECT r, line, row_number() OVER (PARTITION BY r, line) > 1 AS dup FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{words}')),
+by_line AS (SELECT r, count(*) FILTER (dup) AS n_dup, coalesce(sum(strlen(line)) FILTER (dup), 0) / CAST(sum(strlen(line)) AS DOUBLE) AS dup_share FROM lines GROUP BY r),
+grams AS (SELECT r, k, i AS p, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS g
+          FROM w, (SELECT unnest(range(2, {max(DUP_LIMITS) + 1})) AS k), LATERAL (SELECT unnest(range(1, len(ws) - k + 2)) AS i)),
+counted AS (SELECT r, k, p, g, count(*) OVER (PARTITION BY r, k, g) AS c, row_number() OVER (PARTITION BY r, k, g ORDER BY p) AS nth FROM grams),
+best AS (SELECT r, k, first(g ORDER BY c DESC, length(g) DESC, p) AS g FROM counted WHERE k <= {max(TOP_LIMITS)} AND c >= {TOP_LEAST} GROUP BY r, k),
+flagged AS (
+  SELECT r, k, p, 'again' AS kind FROM counted WHERE k >= {min(DUP_LIMITS)} AND nth > 1
+  UNION ALL SELECT r, k, p, 'repeat' FROM counted WHERE k = 8 AND c > 1
+  UNION ALL SELECT c.r, c.k, c.p, 'top' FROM counted c JOIN best b ON c.r = b.r AND c.k = b.k AND c.g = b.g),
+inside AS (SELECT kind, k, f.r, sum(length(word)) AS inside, count(*) AS n_inside
+           FROM (SELECT DISTINCT r, k, kind, unnest(range(p, p + k)) AS q FROM flagged) f JOIN words ON words.r = f.r AND words.p = q GROUP BY ALL),
+said AS (
+  SELECT r, CASE {rules} END AS worst, {most("again")} AS dup_gram_share, {most("top")} AS top_gram_share, coalesce(max(n_inside) FILTER (kind = 'repeat'), 0) AS n_repeat
+  FROM inside JOIN sizes USING (r) GROUP BY r),
+measured AS (
+  SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(chars, 0) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words, coalesce(dup_share, 0) AS dup_line_share,
+         coalesce(top_gram_share, 0) AS top_gram_share, coalesce(dup_gram_share, 0) AS dup_gram_share,
+         coalesce(worst, CASE WHEN dup_share > {DUP_LINE_LIMIT} THEN 'dup_lines' END) AS worst
+  FROM d LEFT JOIN sizes USING (r) LEFT JOIN by_line USING (r) LEFT JOIN said USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND worst IS NULL AS kept,
+       dup_line_share, top_gram_share, dup_gram_share, CASE WHEN base_failed THEN 'base' ELSE worst END AS failed_rule
+FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured)"""
+
+
+ORACLE_SQL = {"op9_quality_rules": _sql()}

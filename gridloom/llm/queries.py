@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import mix_sources, topk_search
+from gridloom.llm import mix_sources, quality_rules, topk_search
 from gridloom.llm.best_fit_pack import op8_best_fit_pack
 from gridloom.llm.language_id import op6_language_id
 from gridloom.llm.license_scan import op1_license_scan
@@ -21,4 +21,4 @@ QUERIES = {
         op7_token_counts, op8_best_fit_pack, op9_quality_rules, op10_maxscore_top_k,
     )
 }
-ORACLE_SQL = {**topk_search.ORACLE_SQL, **getattr(mix_sources, "ORACLE_SQL", {})}
+ORACLE_SQL = mix_sources.ORACLE_SQL | quality_rules.ORACLE_SQL | topk_search.ORACLE_SQL
