@@ -20,7 +20,7 @@ def said(v) -> str:
 def connect(sf_dir: str = DATA):
     con = duckdb.connect()
     for p in Path(sf_dir).glob("*.parquet"):
-        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p / '*.parquet' if p.is_dir() else p}'")
     return con
 
 
