@@ -10,7 +10,7 @@ from gridloom.functions.dtypes import DType
 from gridloom.functions.index import check_box, inside
 from gridloom.operators.elementwise import upsert
 from gridloom.plans.engine import Array
-from gridloom.plans.prefix import BLOCK, numbered, running_sums, segmented_sums
+from gridloom.plans.prefix import BLOCK, block_of, numbered, running_sums, segmented_sums
 
 
 def check_scan(src: Array, dst: Array, mask: Array, lo: int, hi: int) -> None:
@@ -35,59 +35,85 @@ def together(d: DType, column) -> Column:
     return N.pair(column("re"), column("im"), d) if d.kind == "complex" else column("x").cast(d.spark)
 
 
-def masked(src: Array, mask: Array, lo: int, hi: int) -> DataFrame:
-    """k (0 at lo), v and bit of the range."""
-    rows = src.df.where(inside(([lo], [hi]))).join(mask.df.where(inside(([lo], [hi]))).select("i0", N.nonzero(F.col("v"), mask.dtype).alias("bit")), "i0")
-    return rows.select((F.col("i0") - lo).alias("k"), "v", "bit")
+def aligned(lo: int, hi: int, block: int, columns: dict[str, tuple[Array, Column, int]]) -> DataFrame:
+    """_blk, k (0 at lo) and a column of each array over lo..hi. columns: array, value over v, and shift of its cells.
+
+    One shuffle, by block: the aggregation that brings a cell's values together, the scan's windows and the carries of
+    earlier blocks all keep its partitions.
+    """
+    parts = None
+    for name, (a, value, shift) in columns.items():
+        k = F.col("i0") - lo + shift
+        one = a.df.where(inside(([lo], [hi - shift]))).select(block_of(k, block).alias("_blk"), k.alias("k"), value.alias(name))
+        parts = one if parts is None else parts.unionByName(one, allowMissingColumns=True)
+    return parts.repartition("_blk").groupBy("_blk", "k").agg(*(F.max(name).alias(name) for name in columns))
+
+
+def bits(mask: Array) -> Column:
+    return N.nonzero(F.col("v"), mask.dtype)
+
+
+def replaced(dst: Array, lo: int, hi: int, rows: DataFrame, value: Column) -> Array:
+    """dst with lo..hi taken from rows (k and what value needs); other cells stay where they are."""
+    cells = rows.select((F.col("k") + lo).alias("i0"), value.alias("v"))
+    rest = ([lo], [hi])
+    return dst.with_df(cells if (lo, hi) == (0, dst.dims[0] - 1) else cells.unionByName(dst.df.where(~inside(rest)).select("i0", "v")))
 
 
 def scan_add(src: Array, dst: Array, mask: Array, lo: int, hi: int, exclusive: bool = False, block: int = BLOCK) -> Array:
-    """Running sums since the last set bit; cells before the first bit of lo..hi keep dst's values."""
+    """Running sums since the last set bit; cells before the first bit of lo..hi keep dst's values.
+
+    Exclusive: the inclusive sum of the cells one place on, with 0 at every bit.
+    """
     check_scan(src, dst, mask, lo, hi)
     d = src.dtype
-    rows = masked(src, mask, lo, hi)
     own = parts_of(F.col("v"), d)
-    if exclusive:  # the inclusive sum of the cells one place on, with 0 at every bit
-        before = src.df.where(inside(([lo], [hi]))).select((F.col("i0") - lo + 1).alias("k"), *(c.alias(n) for n, c in own.items()))
-        rows = rows.select("k", "bit").join(before, "k", "left")
-        rows = rows.select("k", "bit", *(F.when(F.col("bit"), F.lit(0)).otherwise(F.coalesce(n, F.lit(0))).alias(n) for n in own))
-    else:
-        rows = rows.select("k", "bit", *(c.alias(n) for n, c in own.items()))
-    out = segmented_sums(rows, hi - lo + 1, list(own), block).where("seen")
-    return upsert(dst, out.select((F.col("k") + lo).alias("i0"), together(d, lambda n: F.col(f"sum_{n}")).alias("v")))
+    given = {n: (src, c, int(exclusive)) for n, c in own.items()}
+    rows = aligned(lo, hi, block, given | {"bit": (mask, bits(mask), 0), "old": (dst, F.col("v"), 0)})
+    zero = F.lit(0)
+    values = [(F.when(F.col("bit"), zero).otherwise(F.coalesce(n, zero)) if exclusive else F.col(n)).alias(n) for n in own]
+    out = segmented_sums(rows.select("_blk", "k", "bit", "old", *values), hi - lo + 1, list(own), block)
+    return replaced(dst, lo, hi, out, F.when(F.col("seen"), together(d, lambda n: F.col(f"sum_{n}"))).otherwise(F.col("old")))
 
 
 def scan_copy(src: Array, dst: Array, mask: Array, lo: int, hi: int, block: int = BLOCK) -> Array:
     """The source at the last set bit; 0 before the first bit of lo..hi."""
     check_scan(src, dst, mask, lo, hi)
     own = parts_of(F.col("v"), src.dtype)
+    rows = aligned(lo, hi, block, {n: (src, c, 0) for n, c in own.items()} | {"bit": (mask, bits(mask), 0)})
     zero = F.lit(0)
-    rows = masked(src, mask, lo, hi).select("k", "bit", *(F.when(F.col("bit"), c).otherwise(zero).alias(n) for n, c in own.items()))
+    rows = rows.select("_blk", "k", "bit", *(F.when(F.col("bit"), F.col(n)).otherwise(zero).alias(n) for n in own))
     out = segmented_sums(rows, hi - lo + 1, list(own), block)  # a segment has one number that isn't 0
-    value = together(src.dtype, lambda n: F.when(F.col("seen"), F.col(f"sum_{n}")).otherwise(zero))
-    return upsert(dst, out.select((F.col("k") + lo).alias("i0"), value.alias("v")))
+    return replaced(dst, lo, hi, out, together(src.dtype, lambda n: F.when(F.col("seen"), F.col(f"sum_{n}")).otherwise(zero)))
 
 
-def ranked(mask: Array, lo: int, hi: int, block: int) -> DataFrame:
-    """i0 and rank (from 0) of the masked cells."""
-    bits = mask.df.where(inside(([lo], [hi]))).select((F.col("i0") - lo).alias("k"), N.nonzero(F.col("v"), mask.dtype).cast("long").alias("on"))
-    return running_sums(bits, hi - lo + 1, ["on"], block).where("on = 1").select((F.col("k") + lo).alias("i0"), (F.col("sum_on") - 1).alias("rank"))
+def ranked(rows: DataFrame, n: int, block: int) -> DataFrame:
+    """rows (_blk, k, bit and more) with rank: the number of masked cells before."""
+    on = rows.withColumn("on", F.col("bit").cast("long"))
+    return running_sums(on, n, ["on"], block).withColumn("rank", F.col("sum_on") - F.col("on"))
 
 
 def pack(src: Array, dst: Array, mask: Array, lo: int, hi: int, block: int = BLOCK) -> tuple[Array, DataFrame]:
     """dst with the masked cells of src in its first places, and a frame of their number, `count`."""
     check_scan(src, dst, mask, lo, hi)
-    places = ranked(mask, lo, hi, block)
-    new = places.join(src.df, "i0").select(F.col("rank").alias("i0"), "v")
-    return upsert(dst, new), places.agg(F.count(F.lit(1)).alias("count"))
+    rows = aligned(lo, hi, block, {"bit": (mask, bits(mask), 0), "v": (src, F.col("v"), 0)})
+    new = ranked(rows, hi - lo + 1, block).where("on = 1").select(F.col("rank").alias("i0"), "v")
+    return upsert(dst, new), counted(mask, lo, hi)
+
+
+def counted(mask: Array, lo: int, hi: int) -> DataFrame:
+    return mask.df.where(inside(([lo], [hi]))).agg(F.count_if(bits(mask)).alias("count"))
 
 
 def unpack(src: Array, dst: Array, mask: Array, lo: int, hi: int, block: int = BLOCK) -> tuple[Array, DataFrame]:
     """dst with src's first cells in its masked places, and their number."""
     check_scan(src, dst, mask, lo, hi)
-    places = ranked(mask, lo, hi, block)
-    new = places.join(src.df.select(F.col("i0").alias("rank"), "v"), "rank").select("i0", "v")
-    return upsert(dst, new), places.agg(F.count(F.lit(1)).alias("count"))
+    rows = ranked(aligned(lo, hi, block, {"bit": (mask, bits(mask), 0), "old": (dst, F.col("v"), 0)}), hi - lo + 1, block)
+    # unmasked cells get keys of their own that meet nothing, so that they don't gather in one task
+    rows = rows.withColumn("at", F.when(F.col("on") == 1, F.col("rank")).otherwise(-F.col("k") - 1))
+    given = src.df.select(F.col("i0").alias("at"), F.col("v").alias("new"), F.lit(True).alias("there"))
+    out = rows.join(given, "at", "left")
+    return replaced(dst, lo, hi, out, F.when(F.col("there"), F.col("new")).otherwise(F.col("old"))), counted(mask, lo, hi)
 
 
 # bins: rows (bin, value, pos), bins numbered from 1

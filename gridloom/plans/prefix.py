@@ -18,10 +18,17 @@ from gridloom.plans.lineage import cut
 BLOCK = 65_536
 
 
+def block_of(k: Column, block: int = BLOCK) -> Column:
+    return F.floor(k / block).cast("long")
+
+
 def segmented_sums(rows: DataFrame, n: int, values: Sequence[str], block: int = BLOCK) -> DataFrame:
     """rows: k (0 <= k < n, unique), bit (a segment starts here), and value columns; adds, for each value, its running
-    sum since the last bit (`sum_` + name, inclusive) and `seen`: whether any bit was set up to here."""
-    rows = rows.withColumn("_blk", F.floor(F.col("k") / block).cast("long"))
+    sum since the last bit (`sum_` + name, inclusive) and `seen`: whether any bit was set up to here.
+
+    Rows that have `_blk`, the number of their block of k, are taken as they are dealt.
+    """
+    rows = rows if "_blk" in rows.columns else rows.withColumn("_blk", block_of(F.col("k"), block))
     upto = Window.partitionBy("_blk").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumn("_seg", F.sum(F.col("bit").cast("long")).over(upto))
     within = Window.partitionBy("_blk", "_seg").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
