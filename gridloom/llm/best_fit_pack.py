@@ -29,7 +29,7 @@ SIZE = 1024
 END = 2
 BUCKET_ROWS = 50_000
 #: Numbers of groups that are tried, and the share of a sequence from which a length is large.
-GROUPS = (16, 48, 128, 512)
+GROUPS = (16, 48, 128, 512, 2048, 8192)
 LARGE = 1 / 8
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

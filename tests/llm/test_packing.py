@@ -58,7 +58,7 @@ def test_pack_documents(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     rows = B.op8_best_fit_pack(spark, sf).collect()
     n, total = check_pack(rows, docs)
-    assert n <= best_fit_decreasing([r.length for r in rows]) * 1.02 + 1 and n >= -(-total // 1024)
+    assert n <= best_fit_decreasing([r.length for r in rows]) * 1.005 + 1 and n >= -(-total // 1024)
 
 
 def test_pack_edge_cases(spark):
@@ -93,7 +93,14 @@ def test_plans_place_every_document_once(lengths, groups):
             assert offset == at
             at += length
         assert at <= 64
-    assert len(rooms) <= best_fit_decreasing(lengths, 64) * 1.3 + 2
+    assert len(rooms) == made.n
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=200))
+def test_the_best_plan_is_about_as_good_as_best_fit_decreasing(lengths):
+    """A plan of few groups rounds much and wastes room (one group: [8, 8, 8, 33] takes 4 sequences); the best one doesn't."""
+    assert B.best_plan(np.bincount(lengths, minlength=65), 64).n <= best_fit_decreasing(lengths, 64) * 1.03 + 1
 
 
 @settings(max_examples=150, deadline=None)
