@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm.common import as_bytes, map_rows, table
 
 SCHEMA = "doc_id long, n_sentences long, sentence_ids string, licenses string, unmatched string"
-#: A text without any of these stems holds no licence sentence.
-HINT = re.compile(rb"licen[sc]e|spdx|warrant|permission is|permission to|redistribut|public domain|copyright", re.I)
+#: A text without any of these stems holds no licence sentence: each pattern of SENTENCES, and a tag, needs one. Between two
+#: words stands whatever normalising turns into a blank.
+HINT = re.compile(rb"licen[sc]e|spdx|warrant|permission|redistribut|copyright|endorse|cc0|creative[^a-z0-9]+commons|cc[^a-z0-9]+(?:by|attribution)|public[^a-z0-9]+domain|rights[^a-z0-9]+reserved", re.I)
 _VERSION = r"(?: (?:v |version |v)?(\d+(?: \d+)*))"
 #: Identifier and pattern of each known sentence, over normalised text; `{}` takes the version. The first that fits holds.
 SENTENCES = [

@@ -1,5 +1,8 @@
 """Licence scans over known texts."""
 
+import itertools
+import re
+
 import pytest
 
 from gridloom.llm import license_scan as L
@@ -67,3 +70,39 @@ def test_edge_cases(spark):
     rows = L.scan(cases.documents(spark)).collect()
     assert len(rows) == len(cases.rows()) and all(r.licenses == "" for r in rows)
     assert L.scan(cases.empty(spark)).count() == 0
+
+
+def least(parsed):
+    """The shortest texts of a parsed pattern, one for each choice among its alternatives."""
+    parts = []
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            parts.append([chr(arg)])
+        elif name == "IN":
+            parts.append(["1"])  # digits are the only class
+        elif name == "BRANCH":
+            parts.append([x for one in arg[1] for x in least(one)])
+        elif name == "SUBPATTERN":
+            parts.append(least(arg[3]))
+        elif name == "MAX_REPEAT":
+            parts.append(["".join(x) for x in itertools.product(least(arg[2]), repeat=arg[0])])
+        else:
+            assert name in ("ANY", "AT"), name
+            parts.append(["x"])
+    return ["".join(x) for x in itertools.product(*parts)]
+
+
+@pytest.mark.parametrize(("name", "pattern"), L.SENTENCES)
+def test_the_shortest_text_of_every_sentence_is_scanned(name, pattern):
+    for text in least(re._parser.parse(pattern.replace(" .* ", " x "))):
+        for said in (text, text.upper(), text.replace(" ", "\n * "), text.replace(" ", "\u00a0")):
+            assert L.HINT.search(said.encode()), said
+        assert L.scan_text(text.encode())[0] == 1
+
+
+def test_sentences_without_the_word_licence():
+    assert L.scan_text(b"This work is released under CC BY-SA 4.0.")[2] == "CC-BY-SA-4.0"
+    assert L.scan_text(b"Dedicated under CC0 1.0 Universal.")[2] == "CC0-1.0"
+    assert L.scan_text(b"All rights reserved.")[1] == "AllRights"
+    assert L.scan_text(b"This work is dedicated to the public\ndomain.")[2] == "PublicDomain"
