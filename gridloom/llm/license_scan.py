@@ -57,7 +57,16 @@ SENTENCES = [
     ("AllRights", r"all rights reserved"),
     ("Copyright", r"copyright (?:c )?(?:\d{4}).*"),
 ]
-_COMPILED = [(name, re.compile(rf"^{pattern}$")) for name, pattern in SENTENCES]
+
+
+def over_lines(pattern: str) -> re.Pattern:
+    """A pattern of SENTENCES over lines: its blanks may be line ends, it ends with a line, and an open start or end, or a version, stays in its line."""
+    pattern = pattern.replace(" .* ", " (?s:.*?) ")
+    pattern = re.sub(r"(?<!\(\?:\.\*) (?!\.\*\)|\\d\+\)\*)", r"[ \\n]", pattern)
+    return re.compile(rf"{pattern}$", re.M)
+
+
+_COMPILED = [(name, over_lines(pattern)) for name, pattern in SENTENCES]
 #: Licence by the identifiers that it takes, in order, with nothing between; longer and more specific rules come first.
 RULES = [
     ("BSD-3-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse", "BsdAsIs")),
@@ -82,7 +91,9 @@ RULES = [
     ("PublicDomain", ("PublicDomain",)),
     ("", ("Spdx",)),
 ]
-_END = re.compile(r"[.;!?](?=\s|$)|\n\s*\n|(?<![,\w-])\n|\n(?=[A-Z0-9*#/ ]*[A-Z])")
+_END = re.compile(r"[.;!?](?=\s|$)|\n\s*\n")
+#: Where a sentence may end, or a known one go on: a title has no full stop, and a wrapped text goes on in capitals.
+_LINE = re.compile(r"(?<![,\w-])\n|\n(?=[A-Z0-9*#/ ]*[A-Z])")
 #: A tag line is a sentence of its own, and what it says is kept as it is written.
 _TAG = re.compile(r"SPDX-License-Identifier:[^\S\n]*([A-Za-z0-9.+():-]+(?: (?:AND|OR|WITH) [A-Za-z0-9.+():-]+)*)[^\n]*", re.I)
 _OTHER = re.compile(r"[^a-z0-9]+")
@@ -91,27 +102,34 @@ _SHORT = {"attribution": "by", "noncommercial": "nc", "sharealike": "sa", "noder
 
 
 def sentences(text: str) -> list[str]:
-    """Normalised sentences: lower case, letters and digits, single blanks. A full stop within a number ends none."""
-    parts = (_OTHER.sub(" ", p.lower()).strip() for p in _END.split(text))
+    """Normalised sentences: lower case, letters and digits, single blanks, and a line end wherever the sentence may end
+    before its full stop. A full stop within a number ends none."""
+    parts = ("\n".join(x for line in _LINE.split(p) if (x := _OTHER.sub(" ", line.lower()).strip())) for p in _END.split(text))
     return [p for p in parts if p]
 
 
-def identify(sentence: str) -> tuple[str, str] | None:
-    """(identifier, what it says of the version or kind) of a normalised sentence, or None."""
-    for name, pattern in _COMPILED:
-        if m := pattern.match(sentence):
-            said = [g for g in m.groups() if g]
-            later = bool(said) and said[-1].startswith(" or ")
-            said = said[:-1] if later else said
-            return name, " ".join(said) + ("+" if later else "")
-    return None
+def identify(sentence: str) -> list[tuple[str, str]]:
+    """(identifier, what it says of the version or kind) of the known sentences that whole lines of a normalised one hold."""
+    found, at = [], 0
+    while at < len(sentence):
+        end = sentence.find("\n", at)
+        for name, pattern in _COMPILED:
+            if m := pattern.match(sentence, at):
+                said = [g.replace("\n", " ") for g in m.groups() if g]
+                later = bool(said) and said[-1].startswith(" or ")
+                said = said[:-1] if later else said
+                found.append((name, " ".join(said) + ("+" if later else "")))
+                end = m.end()
+                break
+        at = end + 1 if 0 <= end else len(sentence)
+    return found
 
 
 def identified(text: str) -> list[tuple[str, str]]:
     """The identifiers of a text's known sentences, in order."""
     found, at = [], 0
     for tag in [*_TAG.finditer(text), None]:
-        found += [x for s in sentences(text[at : tag.start() if tag else len(text)]) if (x := identify(s))]
+        found += [x for s in sentences(text[at : tag.start() if tag else len(text)]) for x in identify(s)]
         if tag:
             found.append(("Spdx", tag[1]))
             at = tag.end()

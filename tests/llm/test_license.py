@@ -106,3 +106,86 @@ def test_sentences_without_the_word_licence():
     assert L.scan_text(b"Dedicated under CC0 1.0 Universal.")[2] == "CC0-1.0"
     assert L.scan_text(b"All rights reserved.")[1] == "AllRights"
     assert L.scan_text(b"This work is dedicated to the public\ndomain.")[2] == "PublicDomain"
+
+
+MIT_WRAPPED = """MIT License
+
+Copyright (c) 2020 A. Holder
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD_WRAPPED = """Copyright (c) 2020, A. Holder
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES.
+"""
+APACHE_WRAPPED = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+WRAPPED = {
+    "MIT": (MIT_WRAPPED, ""),
+    "BSD-3-Clause": (BSD_WRAPPED, "Copyright,AllRights"),
+    "BSD-2-Clause": (BSD_WRAPPED[: BSD_WRAPPED.index("3. ")] + BSD_WRAPPED[BSD_WRAPPED.index("THIS") :], "Copyright,AllRights"),
+    "Apache-2.0": (APACHE_WRAPPED, ""),
+}
+
+
+@pytest.mark.parametrize("licence", WRAPPED)
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_standard_wrapped_texts(licence, mark, end):
+    text, rest = WRAPPED[licence]
+    said = "".join(mark + line + end for line in text.split("\n"))
+    _, _, found, unmatched = L.scan_text(said.encode())
+    assert found == licence
+    assert set(unmatched.split(",")) <= {"", "Copyright", *rest.split(",")}
+
+
+def test_a_sentence_goes_on_in_capitals_and_a_title_ends():
+    assert L.scan_text(b"This file is released under the\nMIT License.")[2] == "MIT"
+    assert L.scan_text(b"Licensed under the GNU\nGeneral Public License,\nVersion 3\nAll rights reserved")[1:3] == ("GplRef,AllRights", "GPL-3")
+    assert L.scan_text(b"Copyright 2020 A. Holder\nAll rights reserved\nLicensed under the MIT License\nCC0 1.0")[1] == "Copyright,AllRights,MitRef,Cc0Ref"
