@@ -51,14 +51,14 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits((2 * counts > m).ravel(), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, *, tie: bool = False) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) and, if asked for, tie: a hash of the text as it is."""
 
     def rows(_, batch):
         fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-        yield [batch.column(0), fps.view(np.int64)]
+        yield [batch.column(0), fps.view(np.int64), *batch.columns[2:]]
 
-    return map_rows(docs.select("doc_id", as_bytes()), rows, "doc_id long, fp long")
+    return map_rows(docs.select("doc_id", as_bytes(), *([F.xxhash64("text").alias("tie")] if tie else [])), rows, "doc_id long, fp long" + (", tie long" if tie else ""))
 
 
 def forest(keys: np.ndarray, fps: np.ndarray) -> np.ndarray:
@@ -218,26 +218,31 @@ def hexed(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, component_id and the number of documents with the same fingerprint."""
-    prints = written(fingerprints(docs), "simhash")
+def grouped(prints: DataFrame) -> DataFrame:
+    """fp, the component_id of its component, and the number of documents with the same fingerprint."""
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_same"))
     stars = components(links(classes))
     rooted = classes.join(stars.withColumnsRenamed({"u": "fp", "v": "root"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     heads = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = written(rooted.join(heads, "root").select("fp", "component_id", "n_same"), "simhash-classes")
-    return prints.join(named, "fp").select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id", "n_same")
+    return written(rooted.join(heads, "root").select("fp", "component_id", "n_same"), "simhash-classes")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, component_id and the number of documents with the same fingerprint."""
+    prints = written(fingerprints(docs), "simhash")
+    return prints.join(grouped(prints), "fp").select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id", "n_same")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents whose id heads a component: one row each, with the columns of docs. Rows without an id all stay.
 
-    Of rows that share an id, the one whose text has the smallest hash stays.
+    Of rows that share an id, those whose own component it heads are asked, and the one whose text has the smallest hash stays.
     """
-    heads = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    prints = written(fingerprints(docs, tie=True), "simhash")
+    heads = prints.join(grouped(prints), "fp").where("doc_id = component_id").groupBy("doc_id").agg(F.min("tie").alias("tie"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    kept = rows.where(F.col("doc_id").isNotNull()).join(heads, "doc_id", "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("tie")
+    kept = rows.where(F.col("doc_id").isNotNull()).join(heads, ["doc_id", "tie"], "left_semi")
+    first = Window.partitionBy("doc_id", "tie").orderBy("tie")
     kept = kept.withColumn("n", F.row_number().over(first)).where("n = 1")
     return kept.select("row.*").unionByName(docs.where(F.col("doc_id").isNull()))
 

@@ -110,3 +110,13 @@ def test_one_of_each(spark):
     comps = {r.doc_id: r.component_id for r in S.near_duplicates(df).where("doc_id is not null").collect()}
     assert sorted(r.doc_id for r in rows if r.doc_id is not None) == sorted(d for d in set(comps) if any(c == d for c in comps.values()))
     assert sum(r.doc_id is None for r in rows) == 2
+
+
+def test_the_row_that_stays_heads_its_own_component(spark):
+    """Each even id has a text of its own, which it heads, and a copy of text 0: whatever the hashes, its own text stays."""
+    texts = [f"text {k} of words that {k * 7} no other {k * 13} text has {k * 29} at all {k}" for k in range(9)]
+    prints = [brute_print(t) for t in texts]
+    assert min((a ^ b).bit_count() for i, a in enumerate(prints) for b in prints[:i]) > 3
+    pairs = [(0, texts[0])] + [(2 * k, t) for k in range(1, 9) for t in (texts[k], texts[0])] + [(2 * k + 1, texts[k]) for k in range(1, 9)]
+    kept = S.one_of_each(spark.createDataFrame(pairs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(2 * k, t) for k, t in enumerate(texts)]
