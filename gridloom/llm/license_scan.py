@@ -2,7 +2,8 @@
 
 A text is cut into sentences, these are normalised and mapped to identifiers of known licence sentences; the document's
 sequence of identifiers is then matched against ordered licence rules, the most specific first. A rule takes the
-identifiers that it matches, so that a general rule doesn't see them again.
+identifiers that it matches, so that a general rule doesn't see them again. Every sentence of every text is looked up: no
+filter goes before.
 
 Defined results: a null or empty text has no identifiers and no licences; a licence that occurs again is listed once, in
 the order of first occurrence; identifiers that no rule takes are listed as unmatched; repeated rows give repeated
@@ -18,42 +19,75 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm.common import as_bytes, map_rows, table
 
 SCHEMA = "doc_id long, n_sentences long, sentence_ids string, licenses string, unmatched string"
-#: A text without any of these stems holds no licence sentence: each pattern of SENTENCES, and a tag, needs one. Between two
-#: words stands whatever normalising turns into a blank.
-HINT = re.compile(rb"licen[sc]e|spdx|warrant|permission|redistribut|copyright|endorse|cc0|creative[^a-z0-9]+commons|cc[^a-z0-9]+(?:by|attribution)|public[^a-z0-9]+domain|rights[^a-z0-9]+reserved", re.I)
 _VERSION = r"(?: (?:v |version |v)?(\d+(?: \d+)*))"
-#: Identifier and pattern of each known sentence, over normalised text; `{}` takes the version. The first that fits holds.
+_IS = "(?:this (?:work|file|project|software|program|library|text|document) is )?(?:free software )?"
+_UNDER = _IS + "(?:released|licensed|distributed|made available|available|shared|published) under (?:the terms of )?"
+_LATER = r"( or (?:at your option )?(?:any )?later.*)?"
+_SHORT_VERSION = r"(?: ?v(?:ersion)?)?(?: ?(\d+(?: \d+)*))?"
+_FREE = "(?:this (?:program|library|software|file) is free software )?you can redistribute it and or modify it under the terms of (?:version (\\d+(?: \\d+)*) of )?the gnu {} as published by the free software foundation(?: either)?(?: version (\\d+(?: \\d+)*))?(?: of the license)?" + _LATER
+#: Identifier and pattern of each known sentence, over normalised text. The first that fits holds; groups say the version.
 SENTENCES = [
-    ("ApacheGrant", rf"(?:this (?:work|file|project|software) is )?licensed under the apache license{_VERSION}?(?: the license)?"),
+    ("ApacheGrant", rf"{_IS}licensed under the apache license{_VERSION}?(?: the license)?"),
+    ("ApacheTitle", rf"apache license{_VERSION} january 2004.*"),
     ("ApacheUse", r"you may not use this file except in compliance with the license"),
     ("ApacheCopy", r"you may obtain a copy of the license at(?: .*)?"),
     ("ApacheAsIs", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis.*"),
     ("ApacheLimits", r"see the license for the specific language governing permissions and limitations under the license"),
-    ("MitRef", r"(?:this (?:work|file|project|software) is )?(?:released|licensed|distributed) under the (?:terms of the )?mit license"),
+    ("MitRef", rf"{_UNDER}the (?:terms of the )?mit license"),
+    ("MitTitle", r"(?:the )?mit license(?: mit)?"),
     ("MitGrant", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files.*"),
     ("MitNotice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("MitAsIs", r"the software is provided as is without warranty of any kind express or implied.*"),
-    ("IscGrant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted.*"),
-    ("IscAsIs", r"the software is provided as is and the author disclaims all warranties.*"),
+    ("MitLiable", r"in no event shall the authors or copyright holders be liable for any claim.*"),
+    ("BoostGrant", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license.*"),
+    ("BoostNotice", r"the copyright notices in the software and this entire statement including the above license grant.*"),
+    ("Boost", r"distributed under the boost software license version 1 0"),
+    ("IscTitle", r"isc license.*"),
+    ("IscGrant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that.*"),
+    ("ZeroGrant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("IscAsIs", r"the software is provided as is and .* disclaims all warranties.*"),
+    ("IscLiable", r"in no event shall .* be liable for any special direct indirect or consequential damages.*"),
     ("BsdGrant", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("BsdSource", r"(?:1 )?redistributions of source code must retain the above copyright notice.*"),
     ("BsdBinary", r"(?:2 )?redistributions in binary form must reproduce the above copyright notice.*"),
-    ("BsdEndorse", r"(?:3 )?neither the name of .* may be used to endorse or promote products.*"),
-    ("BsdAsIs", r"this software is provided by the .* as is and any express or implied warranties.*"),
-    ("AgplRef", rf"(?:this (?:work|file|project|software|program) is )?(?:released|licensed|distributed) under (?:the terms of )?the gnu affero general public license{_VERSION}?( or (?:\(at your option\) )?(?:any )?later.*)?"),
-    ("LgplRef", rf"(?:this (?:work|file|project|software|program|library) is )?(?:released|licensed|distributed) under (?:the terms of )?the gnu (?:lesser|library) general public license{_VERSION}?( or (?:any )?later.*)?"),
-    ("GplRef", rf"(?:this (?:work|file|project|software|program) is )?(?:released|licensed|distributed) under (?:the terms of )?the gnu general public license{_VERSION}?( or (?:any )?later.*)?"),
-    ("GplFree", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation.*"),
-    ("GplNoWarranty", r"this program is distributed in the hope that it will be useful but without any warranty.*"),
-    ("GplCopy", r"you should have received a copy of the gnu general public license along with this program.*"),
-    ("MplRef", rf"this source code form is subject to the terms of the mozilla public license(?: v| version)?{_VERSION}?"),
+    ("BsdAdvert", r"(?:3 )?all advertising materials mentioning features or use of this software must display the following acknowledgement.*"),
+    ("BsdEndorse", r"(?:3 |4 )?neither the name of .* may be used to endorse or promote products.*"),
+    ("BsdAsIs", r"this software is provided by .* as is and any express or implied warranties.*"),
+    ("BsdLiable", r"in no event shall .* be liable for any direct indirect incidental special exemplary or consequential damages.*"),
+    ("AgplRef", rf"{_UNDER}the gnu affero general public license{_VERSION}?{_LATER}"),
+    ("LgplRef", rf"{_UNDER}the gnu (?:lesser|library) general public license{_VERSION}?{_LATER}"),
+    ("GplRef", rf"{_UNDER}the gnu general public license{_VERSION}?{_LATER}"),
+    ("AgplShort", rf"{_UNDER}the (?:gnu )?agpl{_SHORT_VERSION}{_LATER}"),
+    ("LgplShort", rf"{_UNDER}the (?:gnu )?lgpl{_SHORT_VERSION}{_LATER}"),
+    ("GplShort", rf"{_UNDER}the (?:gnu )?gpl{_SHORT_VERSION}{_LATER}"),
+    ("AgplFree", _FREE.format("affero general public license")),
+    ("LgplFree", _FREE.format("(?:lesser|library) general public license")),
+    ("GplFree", _FREE.format("general public license")),
+    ("GnuVersion", rf"either version (\d+(?: \d+)*) of the license{_LATER}"),
+    ("GnuNoWarranty", r"this (?:program|library|software|file) is distributed in the hope that it will be useful but without any warranty.*"),
+    ("GnuImplied", r"without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("GnuSee", r"see the gnu (?:affero |lesser |library )?general public license for more details"),
+    ("GnuCopy", r"you should have received a copy of the gnu (?:affero |lesser |library )?general public license along with this (?:program|library|software|file).*"),
+    ("MplRef", rf"this source code form is subject to the terms of the mozilla public license{_VERSION}?"),
+    ("MplCopy", r"if a copy of the mpl was not distributed with this file you can obtain one at.*"),
     ("EplRef", rf"(?:.* )?made available under the terms of the eclipse public license{_VERSION}?.*"),
+    ("EuplRef", rf"{_UNDER}the (?:european union public licence|eupl){_VERSION}?.*"),
+    ("CddlRef", r"the contents of this file are subject to the terms of the common development and distribution license.*"),
+    ("OflRef", rf"this font software is licensed under the sil open font license{_VERSION}?"),
+    ("WtfplTitle", rf"do what the fuck you want to public license(?:{_VERSION})?.*"),
+    ("Cc0Waive", r"to the extent possible under law .* waived all copyright and related or neighboring rights.*"),
     ("Cc0Ref", r"(?:.* )?(?:cc0|creative commons zero)(?: 1 0)?(?: universal)?.*"),
-    ("CcRef", r"(?:this (?:work|file|text) is )?(?:released|licensed|distributed) under (?:a |the )?(?:cc|creative commons) ((?:by|attribution)(?: (?:nc|sa|nd|noncommercial|sharealike|noderivatives))*)(?: (\d+(?: \d+)*))?.*"),
-    ("PublicDomain", r"this (?:is free and unencumbered software|work is|software is|file is)?(?: released into| dedicated to| in)? ?the public domain"),
-    ("Boost", r"distributed under the boost software license version 1 0"),
+    ("CcRef", rf"{_UNDER}(?:a |the )?(?:cc|creative commons) ((?:by|attribution)(?: (?:nc|sa|nd|noncommercial|sharealike|noderivatives))*)(?: (\d+(?: \d+)*))?.*"),
+    ("CcTitle", r"(?:creative commons )?((?:attribution)(?: (?:noncommercial|sharealike|noderivatives))*) (\d+(?: \d+)*) international.*"),
+    ("Unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("UnlicenseFree", r"anyone is free to copy modify publish use compile sell or distribute this software.*"),
+    ("PublicDomain", r"this (?:work|software|file|text|document)(?: is| has been)?(?: released into| dedicated to| in| placed in) the public domain"),
     ("Zlib", r"this software is provided as is without any express or implied warranty"),
+    ("ZlibLiable", r"in no event will the authors be held liable for any damages arising from the use of this software"),
     ("ZlibGrant", r"permission is granted to anyone to use this software for any purpose including commercial applications.*"),
+    ("ZlibOrigin", r"(?:1 )?the origin of this software must not be misrepresented"),
+    ("ZlibAltered", r"(?:2 )?altered source versions must be plainly marked as such.*"),
+    ("ZlibNotice", r"(?:3 )?this notice may not be removed or altered from any source distribution"),
     ("AllRights", r"all rights reserved"),
     ("Copyright", r"copyright (?:c )?(?:\d{4}).*"),
 ]
@@ -66,34 +100,66 @@ def over_lines(pattern: str) -> re.Pattern:
     return re.compile(rf"{pattern}$", re.M)
 
 
-_COMPILED = [(name, over_lines(pattern)) for name, pattern in SENTENCES]
-#: Licence by the identifiers that it takes, in order, with nothing between; longer and more specific rules come first.
-RULES = [
-    ("BSD-3-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse", "BsdAsIs")),
-    ("BSD-2-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdAsIs")),
-    ("Apache", ("ApacheGrant", "ApacheUse", "ApacheCopy", "ApacheAsIs", "ApacheLimits")),
-    ("MIT", ("MitGrant", "MitNotice", "MitAsIs")),
-    ("MIT", ("MitRef", "MitGrant", "MitNotice", "MitAsIs")),
-    ("GPL", ("GplFree", "GplNoWarranty", "GplCopy")),
-    ("ISC", ("IscGrant", "IscAsIs")),
-    ("Zlib", ("Zlib", "ZlibGrant")),
+_COMPILED = {name: over_lines(pattern) for name, pattern in SENTENCES}
+#: All patterns at once: a match's last group is the sentence that fits, as an outer group closes last.
+_ANY = re.compile("|".join(f"(?P<{name}>{pattern.pattern})" for name, pattern in _COMPILED.items()), re.M)
+_GNU = ("GnuVersion?", "GnuNoWarranty?", "GnuImplied?", "GnuSee?", "GnuCopy?")
+#: Licence and the identifiers that it takes, in order, with nothing between; those with a question mark may be absent.
+ORDERED = [
+    ("BSD-4-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdAdvert", "BsdEndorse", "BsdAsIs", "BsdLiable?")),
+    ("BSD-3-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse", "BsdAsIs", "BsdLiable?")),
+    ("BSD-2-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdAsIs", "BsdLiable?")),
+    ("Apache", ("ApacheGrant", "ApacheUse", "ApacheCopy", "ApacheAsIs", "ApacheLimits?")),
+    ("MIT", ("MitTitle?", "Copyright?", "AllRights?", "MitGrant", "MitNotice", "MitAsIs", "MitLiable?")),
+    ("MIT", ("MitRef", "MitGrant", "MitNotice", "MitAsIs", "MitLiable?")),
+    ("AGPL", ("AgplFree", *_GNU)),
+    ("LGPL", ("LgplFree", *_GNU)),
+    ("GPL", ("GplFree", *_GNU)),
+    ("ISC", ("IscTitle?", "Copyright?", "IscGrant", "IscAsIs", "IscLiable?")),
+    ("0BSD", ("ZeroGrant", "IscAsIs", "IscLiable?")),
+    ("BSL-1.0", ("BoostGrant", "BoostNotice", "MitAsIs?")),
+    ("Zlib", ("Zlib", "ZlibLiable?", "ZlibGrant", "ZlibOrigin?", "ZlibAltered?", "ZlibNotice?")),
+    ("MPL", ("MplRef", "MplCopy?")),
+    ("Unlicense", ("Unencumbered", "UnlicenseFree?")),
+    ("Apache", ("ApacheTitle",)),
     ("Apache", ("ApacheGrant",)),
     ("MIT", ("MitRef",)),
+    ("MIT", ("MitTitle",)),
+    ("ISC", ("IscTitle",)),
     ("AGPL", ("AgplRef",)),
+    ("AGPL", ("AgplShort",)),
     ("LGPL", ("LgplRef",)),
+    ("LGPL", ("LgplShort",)),
     ("GPL", ("GplRef",)),
-    ("GPL", ("GplFree",)),
-    ("MPL", ("MplRef",)),
+    ("GPL", ("GplShort",)),
     ("EPL", ("EplRef",)),
+    ("EUPL", ("EuplRef",)),
+    ("CDDL", ("CddlRef",)),
+    ("OFL", ("OflRef",)),
+    ("WTFPL", ("WtfplTitle",)),
+    ("CC0-1.0", ("Cc0Waive",)),
     ("CC0-1.0", ("Cc0Ref",)),
     ("CC", ("CcRef",)),
+    ("CC", ("CcTitle",)),
     ("BSL-1.0", ("Boost",)),
     ("PublicDomain", ("PublicDomain",)),
     ("", ("Spdx",)),
 ]
-_END = re.compile(r"[.;!?](?=\s|$)|\n\s*\n")
+
+
+def forms(rule: tuple[str, ...]) -> list[tuple[str, ...]]:
+    """A rule with and without the parts that may be absent, the longest form first."""
+    out: list[tuple[str, ...]] = [()]
+    for part in rule:
+        name = part.rstrip("?")
+        out = [x + y for x in out for y in (((name,), ()) if part.endswith("?") else ((name,),))]
+    return sorted(out, key=len, reverse=True)
+
+
+RULES = [(licence, form) for licence, rule in ORDERED for form in forms(rule)]
+_END = re.compile(r"(?<!\b[vV])\.(?=\s|$)|[;!?](?=\s|$)|\n\s*\n")
 #: Where a sentence may end, or a known one go on: a title has no full stop, and a wrapped text goes on in capitals.
-_LINE = re.compile(r"(?<![,\w-])\n|\n(?=[A-Z0-9*#/ ]*[A-Z])")
+_LINE = re.compile(r"(?<![,\w-])\n|\n(?=[A-Z0-9*#/;%<!: -]*[A-Z])")
 #: A tag line is a sentence of its own, and what it says is kept as it is written.
 _TAG = re.compile(r"SPDX-License-Identifier:[^\S\n]*([A-Za-z0-9.+():-]+(?: (?:AND|OR|WITH) [A-Za-z0-9.+():-]+)*)[^\n]*", re.I)
 _OTHER = re.compile(r"[^a-z0-9]+")
@@ -113,14 +179,13 @@ def identify(sentence: str) -> list[tuple[str, str]]:
     found, at = [], 0
     while at < len(sentence):
         end = sentence.find("\n", at)
-        for name, pattern in _COMPILED:
-            if m := pattern.match(sentence, at):
-                said = [g.replace("\n", " ") for g in m.groups() if g]
-                later = bool(said) and said[-1].startswith(" or ")
-                said = said[:-1] if later else said
-                found.append((name, " ".join(said) + ("+" if later else "")))
-                end = m.end()
-                break
+        if known := _ANY.match(sentence, at):
+            name = known.lastgroup
+            said = [g.replace("\n", " ") for g in _COMPILED[name].match(sentence, at).groups() if g]
+            later = bool(said) and said[-1].startswith(" or ")
+            said = said[:-1] if later else said
+            found.append((name, " ".join(said) + ("+" if later else "")))
+            end = known.end()
         at = end + 1 if 0 <= end else len(sentence)
     return found
 
@@ -152,9 +217,12 @@ def named(licence: str, said: str) -> str:
 def licences(found: list[tuple[str, str]]) -> tuple[list[str], list[str]]:
     """Licences by rule, in order of place, and the identifiers that no rule takes."""
     names = [name for name, _ in found]
+    present = set(names)
     taken: list[str | None] = [None] * len(found)
     heads: list[tuple[int, str]] = []
     for licence, rule in RULES:
+        if rule[0] not in present:
+            continue
         for i in range(len(names) - len(rule) + 1):
             if tuple(names[i : i + len(rule)]) == rule and not any(taken[i : i + len(rule)]):
                 taken[i : i + len(rule)] = [licence or "Spdx"] * len(rule)
@@ -165,8 +233,6 @@ def licences(found: list[tuple[str, str]]) -> tuple[list[str], list[str]]:
 
 def scan_text(text: bytes) -> tuple[int, str, str, str]:
     """The columns of SCHEMA after doc_id."""
-    if not HINT.search(text):
-        return 0, "", "", ""
     found = identified(text.decode("utf-8", "replace"))
     known, rest = licences(found)
     return len(found), ",".join(n for n, _ in found), ",".join(known), ",".join(rest)

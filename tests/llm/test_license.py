@@ -1,6 +1,7 @@
 """Licence scans over known texts."""
 
 import itertools
+import random
 import re
 
 import pytest
@@ -62,8 +63,8 @@ def test_documents_with_licence_lines_are_found(spark):
         said = docs[r.doc_id]
         if "SPDX-License-Identifier:" in said or "Licensed under the Apache License" in said:
             assert r.licenses
-        if not L.HINT.search(said.encode()):
-            assert not r.licenses
+        found = [(n, "") for n in r.sentence_ids.split(",") if n]
+        assert (len(found), bool(found) or not r.licenses) == (r.n_sentences, True)
 
 
 def test_edge_cases(spark):
@@ -96,9 +97,9 @@ def least(parsed):
 @pytest.mark.parametrize(("name", "pattern"), L.SENTENCES)
 def test_the_shortest_text_of_every_sentence_is_scanned(name, pattern):
     for text in least(re._parser.parse(pattern.replace(" .* ", " x "))):
-        for said in (text, text.upper(), text.replace(" ", "\n * "), text.replace(" ", "\u00a0")):
-            assert L.HINT.search(said.encode()), said
-        assert L.scan_text(text.encode())[0] == 1
+        for said in (text, text.upper(), text.replace(" ", "\u00a0"), f"Words before.\n\n{text}.\n\nWords after."):
+            assert L.scan_text(said.encode())[0] == 1, said
+        assert L.identify(text)[0][0] == name or text in ("cc0", "creative commons zero")
 
 
 def test_sentences_without_the_word_licence():
@@ -189,3 +190,92 @@ def test_a_sentence_goes_on_in_capitals_and_a_title_ends():
     assert L.scan_text(b"This file is released under the\nMIT License.")[2] == "MIT"
     assert L.scan_text(b"Licensed under the GNU\nGeneral Public License,\nVersion 3\nAll rights reserved")[1:3] == ("GplRef,AllRights", "GPL-3")
     assert L.scan_text(b"Copyright 2020 A. Holder\nAll rights reserved\nLicensed under the MIT License\nCC0 1.0")[1] == "Copyright,AllRights,MitRef,Cc0Ref"
+
+
+GNU = """This {0} is free software{3} you can redistribute it and/or modify
+it under the terms of the GNU {1} as published by
+the Free Software Foundation; either version {2} of the License, or
+(at your option) any later version.
+
+This {0} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {1} for more details.
+
+You should have received a copy of the GNU {1}
+along with this {0}.  If not, see <https://www.gnu.org/licenses/>.
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.
+"""
+ISC = """ISC License
+
+Copyright (c) 2020, A. Holder
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
+ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+FULL = [
+    ("GPL-3+", GNU.format("program", "General Public License", 3, ":").replace("Foundation;", "Foundation,")), ("GPL-2+", GNU.format("program", "General Public License", 2, ";")), ("AGPL-3+", GNU.format("program", "Affero General Public License", 3, ":").replace("Foundation;", "Foundation,")),
+    ("LGPL-2.1+", GNU.format("library", "Lesser General Public License", 2.1, ";").replace("Foundation;", "Foundation,")), ("GPL-2", "This program is free software; you can redistribute it and/or modify\nit under the terms of version 2 of the GNU General Public License as\npublished by the Free Software Foundation.\n"),
+    ("Zlib", ZLIB), ("ISC", ISC), ("MPL-2.0", MPL), ("CC0-1.0", "To the extent possible under law, the person who associated CC0 with\nthis work has waived all copyright and related or neighboring rights to it.\n"), ("CC0-1.0", "Creative Commons Zero 1.0 Universal\n"),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons\nAttribution-NonCommercial-ShareAlike 4.0 International License.\n"), ("CC-BY-4.0", "Attribution 4.0 International\n"), ("GPL-2", "Distributed under the GPLv2.\n"), ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose.\n"),
+]
+
+
+@pytest.mark.parametrize(("licence", "text"), FULL, ids=[f"{k}-{x[0]}" for k, x in enumerate(FULL)])
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "-- "])
+def test_full_texts(licence, text, mark):
+    for end in ("\n", "\r\n"):
+        said = "".join((mark + line).rstrip() + end for line in text.split("\n"))
+        assert L.scan_text(said.encode())[2:] == (licence, "")
+
+
+def brute(names):
+    """Rules as strings in a string of names: the first place of a rule is taken, until it has none."""
+    said, found = "".join(f"<{n}>" for n in names), []
+    for licence, rule in L.RULES:
+        own = "".join(f"<{n}>" for n in rule)
+        while (at := said.find(own)) >= 0:
+            found.append((said[:at].count("<"), licence))
+            said = said[:at] + "".join(f"<~{n}>" for n in rule) + said[at + len(own) :]
+    return list(dict.fromkeys(x for _, x in sorted(found))), [n for n in re.findall(r"<(\w+)>", said)]
+
+
+def test_rules_agree_with_brute_force_over_sequences_of_sentences():
+    rng = random.Random(8)
+    said = {name: least(re._parser.parse(p.replace(" .* ", " x ")))[0] for name, p in L.SENTENCES}
+    found_any = 0
+    for _ in range(400):
+        names = []
+        for _ in range(rng.randint(0, 7)):
+            names += rng.choice(L.RULES)[1] if rng.random() < 0.6 else [rng.choice(list(said))]
+        names = [n for n in names if n != "Spdx" and n != "CcTitle"]
+        text = " ".join(f"{said[n].capitalize()}." + (" Nothing known is said here." if rng.random() < 0.3 else "") for n in names)
+        found = L.identified(text)
+        assert [n for n, _ in found] == names
+        known, rest = L.licences([(n, "") for n in names])
+        assert (known, rest) == brute(names)
+        found_any += bool(known)
+    assert found_any > 200
