@@ -1,10 +1,14 @@
 """Best-fit packing by a linear grouping scheme.
 
 Only the histogram of piece lengths (as many numbers as a sequence has tokens) is planned on the driver. Large lengths
-are split into groups of equal cardinality and rounded up to their group's largest; the few sizes that result are
-combined into configurations, each a best filling of a sequence; then actual lengths take the rounded sizes' places, and
-the small pieces are best-fitted into what is left. Several numbers of groups are planned and the one with the fewest
-sequences is taken. The plan is a list of runs: documents of a length, by rank, to a range of sequences.
+are split into groups of equal cardinality, at most MOST_SIZES, and rounded up to their group's largest; the few sizes
+that result are combined into configurations, each a best filling of a sequence. Then actual documents are substituted:
+a slot takes the longest document of its group, the last slot the longest one of any group that fits the room which the
+others left, and room for another large document is filled in the same way. Small pieces are best-fitted into the rest.
+Several numbers of groups are planned and the one with the fewest sequences is taken. The plan is a list of runs:
+documents of a length, by rank, to a range of sequences.
+
+Ids are those of the plain call of the vocabulary's JSON form: a special string in a text (`<|endoftext|>`) is its id.
 
 The ranks are made apart: documents of a length are dealt to buckets by hash, counts by bucket are summed ahead, and a
 bucket is numbered by itself, so that a length that a third of all documents have is no hot group.
@@ -28,8 +32,10 @@ from gridloom.llm.tokens import as_text, encoder
 SIZE = 1024
 END = 2
 BUCKET_ROWS = 50_000
-#: Numbers of groups that are tried, and the share of a sequence from which a length is large.
-GROUPS = (16, 48, 128, 512, 2048, 8192)
+#: Sizes that large lengths are rounded to at most, the numbers of groups that are tried, and the share of a sequence from
+#: which a length is large.
+MOST_SIZES = 64
+GROUPS = (8, 16, 32, MOST_SIZES)
 LARGE = 1 / 8
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -48,7 +54,7 @@ def pieces(docs: DataFrame, size: int = SIZE, place: str | None = None) -> DataF
                     column.append(x)
         yield out
 
-    return map_rows(docs.select("doc_id", as_bytes()), rows, PIECES, once=lambda: encoder(place))
+    return map_rows(docs.select("doc_id", as_bytes()), rows, PIECES, once=lambda: encoder(place, special=True))
 
 
 @dataclass
@@ -60,6 +66,7 @@ class Plan:
     runs: list[tuple[int, int, int, int, int, int]] = field(default_factory=list)  # length, rank0, n, each, first_seq, offset
     used: dict[int, int] = field(default_factory=dict)
     open: dict[int, list[tuple[int, int]]] = field(default_factory=dict)  # room -> (first_seq, number) of sequences
+    sizes: list[int] = field(default_factory=list)  # that large lengths were rounded to
 
     def place(self, length: int, n: int, each: int, first_seq: int, offset: int) -> None:
         rank = self.used.get(length, 0)
@@ -71,47 +78,58 @@ class Plan:
             self.open.setdefault(room, []).append((first_seq, number))
 
 
-def grouped(counts: np.ndarray, least: int, groups: int) -> list[tuple[int, list[list[int]]]]:
-    """(rounded size, [[length, count], ...] from the largest) for groups of equal cardinality, largest first."""
-    total = int(counts[least:].sum())
-    most = max(1, -(-total // groups))
-    out: list[tuple[int, list[list[int]]]] = []
-    room = 0
-    for length in range(len(counts) - 1, least - 1, -1):
-        n = int(counts[length])
-        while n:
-            if not room:
-                out.append((length, []))
-                room = most
-            take = min(n, room)
-            out[-1][1].append([length, take])
-            n, room = n - take, room - take
-    merged: dict[int, list[list[int]]] = {}
-    for size, own in out:
-        merged.setdefault(size, []).extend(own)
-    return list(merged.items())
+def grouped(counts: np.ndarray, least: int, groups: int) -> tuple[list[int], np.ndarray]:
+    """The rounded sizes, largest first, and the group of each length (-1: small): about equal numbers of documents each."""
+    of = np.full(len(counts), -1)
+    lengths = np.flatnonzero(counts)
+    lengths = lengths[lengths >= least][::-1]
+    if not len(lengths):
+        return [], of
+    before = np.cumsum(counts[lengths]) - counts[lengths]
+    _, own = np.unique(before * groups // counts[lengths].sum(), return_inverse=True)
+    of[lengths] = own
+    return [int(lengths[own == g].max()) for g in range(own.max() + 1)], of
 
 
 def filling(sizes: list[int], left: list[int], room: int) -> list[int]:
-    """Numbers of each size that fill the room best, none above what is left; larger sizes are preferred."""
-    reach: list[tuple[int, int] | None] = [None] * (room + 1)  # (size index, how many) that ends at a sum
-    reach[0] = (-1, 0)
-    for i, size in enumerate(sizes):
-        if not left[i] or size > room:
-            continue
-        used = [0] * (room + 1)
-        for s in range(size, room + 1):
-            if reach[s] is None and reach[s - size] is not None and used[s - size] < left[i]:
-                reach[s] = (i, 0)
-                used[s] = used[s - size] + 1
-        if reach[room] is not None:
+    """Numbers of each size (largest first) that fill the room best, none above what is left; larger sizes are preferred.
+
+    Sums that can be reached are bits of one number; the sizes are then read back from the smallest."""
+    reach, before = 1, []
+    within = (1 << (room + 1)) - 1
+    for size, n in zip(sizes, left, strict=True):
+        before.append(reach)
+        for k in range(1, min(n, room // size) + 1):
+            reach |= before[-1] << k * size & within
+        if reach >> room:
             break
-    best = max(s for s in range(room + 1) if reach[s] is not None)
+    best = reach.bit_length() - 1
     out = [0] * len(sizes)
-    while best:
-        i = reach[best][0]
-        out[i] += 1
-        best -= sizes[i]
+    for i in range(len(before) - 1, -1, -1):
+        while not before[i] >> best & 1:
+            # the least number of this size that leads back to a sum of the larger ones
+            out[i] = next(k for k in range(1, left[i] + 1) if k * sizes[i] <= best and before[i] >> best - k * sizes[i] & 1)
+            best -= out[i] * sizes[i]
+    return out
+
+
+def substituted(slots: list[int], of: np.ndarray, left: np.ndarray, size: int, least: int) -> list[int]:
+    """Actual lengths for a configuration's slots (groups, largest first)."""
+    out, room, free = [], size, left.copy()
+
+    def take(fitting: np.ndarray) -> bool:
+        nonlocal room
+        if not len(fitting):
+            return False
+        out.append(int(fitting[-1]))
+        free[fitting[-1]] -= 1
+        room -= int(fitting[-1])
+        return True
+
+    for group in slots[:-1]:
+        take(np.flatnonzero((free[: room + 1] > 0) & (of[: room + 1] == group)))
+    while room >= least and take(np.flatnonzero((free[: room + 1] > 0) & (of[: room + 1] >= 0))):
+        pass
     return out
 
 
@@ -119,42 +137,27 @@ def plan(counts: np.ndarray, groups: int, size: int = SIZE, large: float = LARGE
     """counts[length]: documents of that length, 0 to size."""
     made = Plan(size)
     least = max(1, int(size * large))
-    classes = grouped(counts, least, groups)
-    sizes = [c[0] for c in classes]
-    queues = [c[1] for c in classes]
-    left = [sum(n for _, n in q) for q in queues]
-    for i in range(len(sizes)):
-        while left[i]:
-            left[i] -= 1
-            rest = filling(sizes, left, size - sizes[i])
-            left[i] += 1
-            rest[i] += 1
-            slots = [k for k, n in enumerate(rest) for _ in range(n)]
-            times = min(left[k] // n for k, n in enumerate(rest) if n)
-            for k, n in enumerate(rest):
-                left[k] -= n * times
-            while times:  # actual lengths take the slots: a stretch of sequences in which each slot keeps its length
-                need = {k: slots.count(k) for k in set(slots)}
-                stretch = times
-                for k, n in need.items():
-                    stretch = min(stretch, queues[k][0][1] // n if queues[k][0][1] >= n else 0)
-                offset, number = 0, stretch or 1
-                for k in slots:
-                    if stretch:
-                        length = queues[k][0][0]
-                        made.place(length, number, 1, made.n, offset)
-                        queues[k][0][1] -= number
-                    else:
-                        length = queues[k][0][0]
-                        made.place(length, 1, 1, made.n, offset)
-                        queues[k][0][1] -= 1
-                    if not queues[k][0][1]:
-                        queues[k].pop(0)
-                        queues[k].append([0, 0]) if not queues[k] else None
-                    offset += length
-                made.leave(size - offset, made.n, number)
-                made.n += number
-                times -= number
+    sizes, of = grouped(counts, least, min(groups, MOST_SIZES))
+    made.sizes = sizes
+    left = counts.astype(np.int64).copy()
+    while True:
+        by_group = np.bincount(of[of >= 0], weights=left[of >= 0], minlength=len(sizes)).astype(np.int64).tolist() if sizes else []
+        first = next((g for g, n in enumerate(by_group) if n), None)
+        if first is None:
+            break
+        by_group[first] -= 1
+        rest = filling(sizes, by_group, size - sizes[first])
+        rest[first] += 1
+        own = substituted([g for g, n in enumerate(rest) for _ in range(n)], of, left, size, least)
+        kinds, each = np.unique(own, return_counts=True)
+        times = int((left[kinds] // each).min())  # the same documents' lengths in so many sequences
+        offset = 0
+        for length in own:
+            made.place(length, times, 1, made.n, offset)
+            offset += length
+        left[kinds] -= each * times
+        made.leave(size - offset, made.n, times)
+        made.n += times
     for length in range(min(least, size + 1) - 1, 0, -1):
         small(made, length, int(counts[length]))
     return made
@@ -204,7 +207,7 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
     lengths, rank0, _, each, first_seq, offset = runs.T
     starts = np.searchsorted(lengths, np.arange(size + 2))
     buckets = max(1, -(-int(counts.sum()) // BUCKET_ROWS))
-    dealt = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    dealt = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     ahead = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = dealt.groupBy("length", "_bucket").count().select("length", "_bucket", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_before"))
     own = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")

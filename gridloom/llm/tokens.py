@@ -1,7 +1,7 @@
 """Token ids of the public byte-level BPE vocabulary.
 
 The vocabulary's two forms give the same ids; the rank form is encoded several times faster and is used where it can,
-the tokenizers form where it fails (tests hold one against the other).
+the tokenizers form where it fails and where a special string is to be one id (tests hold one against the other).
 """
 
 from __future__ import annotations
@@ -15,8 +15,12 @@ import numpy as np
 VOCABULARY = "byte_bpe_50k"
 
 
-def encoder(place: str | None = None) -> Callable[[str], np.ndarray]:
-    """A function from a text to its ids; place: the folder of the vocabulary files, the installed one by default."""
+def encoder(place: str | None = None, *, special: bool = False) -> Callable[[str], np.ndarray]:
+    """A function from a text to its ids; place: the folder of the vocabulary files, the installed one by default.
+
+    special: the strings of the vocabulary's special tokens are these tokens, as in the tokenizers library's plain call;
+    else they are ordinary text.
+    """
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
@@ -26,18 +30,18 @@ def encoder(place: str | None = None) -> Callable[[str], np.ndarray]:
     with open(path(f"{VOCABULARY}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    slow: list = []
+    slow = Tokenizer.from_file(path(f"{VOCABULARY}.json"))
+    slow.encode_special_tokens = not special
+    added = [t.content for t in slow.get_added_tokens_decoder().values()] if special else []
 
     def encode(text: str) -> np.ndarray:
-        try:
-            return fast.encode_to_numpy(text, disallowed_special=())
-        except BaseException as e:  # the pattern's engine gives up on some extreme texts
-            if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
-                raise
-            if not slow:
-                slow.append(Tokenizer.from_file(path(f"{VOCABULARY}.json")))
-                slow[0].encode_special_tokens = True
-            return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
+        if not any(x in text for x in added):
+            try:
+                return fast.encode_to_numpy(text, disallowed_special=())
+            except BaseException as e:  # the pattern's engine gives up on some extreme texts
+                if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+                    raise
+        return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode
 

@@ -18,13 +18,16 @@ from tests.llm import cases
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 TOKENIZER.encode_special_tokens = True
 ids_of = lambda text: TOKENIZER.encode(text or "", add_special_tokens=False).ids
+#: The contract's call of op8: special strings are their ids.
+PLAIN = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+plain_ids = lambda text: PLAIN.encode(text or "", add_special_tokens=False).ids
 
 
 def check_pack(rows, docs, size=1024):
     by_piece = sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in rows)
     want = []
     for d, text in docs:
-        ids = [*ids_of(text), 2]
+        ids = [*plain_ids(text), 2]
         first = (len(ids) - 1) % size + 1
         cuts = [0, *range(first, len(ids), size), len(ids)]
         for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
@@ -109,7 +112,44 @@ def test_both_forms_of_the_vocabulary_agree(text):
     assert encode(text).tolist() == ids_of(text)
 
 
-encode = encoder()
+encode, encode_special = encoder(), encoder(special=True)
+SPECIAL = ["<|endoftext|>", "a<|endoftext|>b", "a <|endoftext|> <|endoftext|>", "<|endoftext", "x" * 5000 + "<|endoftext|>" * 3 + "y z"]
+
+
+@pytest.mark.parametrize("text", SPECIAL)
+def test_special_strings(text):
+    assert encode_special(text).tolist() == plain_ids(text)
+    assert (plain_ids(text) != ids_of(text)) == ("<|endoftext|>" in text)
+
+
+def test_pack_special_strings(spark):
+    docs = list(enumerate(SPECIAL * 2))
+    check_pack(B.packed(spark.createDataFrame(docs, "doc_id long, text string")).collect(), docs)
+
+
+def test_plans_round_to_few_sizes_and_waste_little(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()]
+    sizes = np.array([len(encode(t or "")) + 1 for t in texts])
+    first = (sizes - 1) % 1024 + 1
+    documents = np.bincount(np.append(first, np.full(int((sizes - first).sum()) // 1024, 1024)), minlength=1025)
+    logs = np.bincount(np.clip(np.random.default_rng(1).lognormal(5.7, 0.8, 30_000).astype(int), 1, 1024), minlength=1025)
+    for counts in (documents, logs, logs * 10_000_000):
+        made = B.best_plan(counts)
+        assert len(made.sizes) <= B.MOST_SIZES and len(made.sizes) * 10 < (counts[128:] > 0).sum()
+        assert made.n <= int((counts * np.arange(1025)).sum()) / 1024 * 1.01 and len(made.runs) < 10_000
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=5, unique=True), st.lists(st.integers(0, 4), min_size=5, max_size=5), st.integers(0, 40))
+def test_fillings_are_the_best(sizes, left, room):
+    import itertools
+
+    sizes = sorted(sizes, reverse=True)
+    left = left[: len(sizes)]
+    out = B.filling(sizes, left, room)
+    assert all(0 <= a <= b for a, b in zip(out, left, strict=True))
+    sums = (sum(s * k for s, k in zip(sizes, ks, strict=True)) for ks in itertools.product(*(range(n + 1) for n in left)))
+    assert sum(s * k for s, k in zip(sizes, out, strict=True)) == max(x for x in sums if x <= room)
 
 
 @pytest.mark.parametrize("text", ["<|endoftext|>", "a\u0000b", "  \n\n\t x  ", "1234567 'll I'LL", "\U0001f600‍", "日本語のテキスト", "é" * 50, "\r\n  　"])
