@@ -2,9 +2,14 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from gridloom.llm import secret_scan as S
 from tests.llm import cases
 
@@ -79,3 +84,79 @@ def test_redaction(spark):
     planted = S.redacted(spark.createDataFrame(list(enumerate(PLANTED)), "doc_id long, text string")).collect()
     assert not any(brute(r.text) for r in planted)
     assert S.redacted(cases.empty(spark)).count() == 0
+
+
+def battery(token: str):
+    """The battery in numpy: encoding, raw score without the tie's part."""
+    w = token.rstrip("=")
+    enc = next((k for k, (pattern, _) in S.ENCODINGS.items() if re.search(pattern, token)), "base64url")
+    letters = S.ENCODINGS[enc][1]
+    n, k = len(w), len(letters)
+    at = np.array([letters.index(c) + 1 for c in w], float)
+    counts = np.bincount(at.astype(int), minlength=k + 1).astype(float)
+    tail = lambda z: 1 - math.exp(-0.717 * abs(z) - 0.416 * z * z) / 2 if z < 0 else 0.0 if z > 8 else math.exp(-0.717 * z - 0.416 * z * z) / 2
+    chi = ((counts**2).sum() * k / n - n - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
+    up = at > k / 2
+    u = float(up.sum())
+    both = 2 * u * (n - u)
+    runs = 9.0 if not u or u == n or both <= n else abs((up[1:] != up[:-1]).sum() - both / n) / math.sqrt(both * (both - n) / (n * n * (n - 1)))
+    dev = at - at.mean()
+    serial = 9.0 if not (dev**2).sum() else abs((dev[1:] * dev[:-1]).sum() / (dev**2).sum() + 1 / n) * math.sqrt(n)
+    return enc, min(tail(chi), 2 * tail(runs), 2 * tail(serial))
+
+
+ALPHABETS = [a for _, a in S.ENCODINGS.values()]
+
+
+def test_the_battery_equals_numpy(spark):
+    rng = random.Random(11)
+    tokens = ["".join(rng.choices(rng.choice(ALPHABETS), k=rng.choice([20, 23, 40, 64, 65, 200]))) + rng.choice(["", "=", "=="]) for _ in range(300)]
+    tokens += ["a1" * 20, "0" * 30 + "a", "z" * 30 + "9", "abcdefghijklmnopqrstuvwxyz0123456789", "A1b" * 300]
+    for r in spark.createDataFrame([(t,) for t in tokens], "w string").select("w", F.expr(S.tested("w")).alias("t")).collect():
+        if not (re.search("[0-9]", r.w) and re.search("[A-Za-z]", r.w)):
+            assert r.t is None
+            continue
+        enc, raw = battery(r.w)
+        n = len(r.w.rstrip("="))
+        assert (r.t.enc, r.t.size, r.t.n0) == (enc, n.bit_length() - 1, n if n <= 64 else min(160, -(-n // 16) * 16))
+        assert r.t.raw == pytest.approx(raw, rel=2e-6, abs=1e-12)
+
+
+def test_p_is_uniform_for_random_tokens(spark):
+    """Of random tokens of any encoding and length, about b / BINS lie under the level b."""
+    rng = random.Random(12)
+    tokens = [("".join(rng.choices(a, k=n)),) for a in ALPHABETS for n in (20, 27, 40, 100) for _ in range(120)]
+    tests = spark.createDataFrame(tokens, "w string").select(F.expr(S.tested("w")).alias("t")).where("t IS NOT NULL").select("t.*")
+    bins = np.bincount([np.searchsorted(S.null_levels(r.enc, r.n0), r.raw, side="right") for r in tests.collect()], minlength=S.BINS)
+    share = bins / bins.sum()
+    assert bins.sum() > 3000 and np.abs(np.cumsum(share)[:-1] - np.arange(1, S.BINS) / S.BINS).max() < 0.03
+
+
+WORDS = "get set user account name from data base record find next load store value item list page view model event handler index search token cache session create update remove count order customer file path config reader writer stream".split()
+
+
+def identifier(rng: random.Random, n: int = 40) -> str:
+    """Camel case words and a digit, cut to n characters."""
+    said = ""
+    while len(said) < n - 1:
+        said += rng.choice(WORDS).capitalize()
+    return said[: n - 1] + str(rng.randrange(10))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_false_discoveries_are_controlled(spark, seed):
+    rng = random.Random(seed)
+    letters = S.ENCODINGS["base62"][1]
+    docs = [(k, f"a {''.join(rng.choices(letters, k=40))} b") for k in range(200)] + [(k, f"a {identifier(rng)} b") for k in range(200, 280)]
+    found = {r.doc_id: r.n_random for r in S.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    right, wrong = sum(found[k] for k in range(200)), sum(found[k] for k in range(200, 280))
+    assert right >= 180 and wrong <= 0.12 * (right + wrong)
+    alone = S.scan(spark.createDataFrame(docs[200:], "doc_id long, text string")).agg(F.sum("n_random")).first()[0]
+    assert alone == 0
+
+
+def test_limits():
+    flat = [10] * S.BINS
+    assert S.limit_of(flat) == 0 and S.limit_of([90] + flat[1:]) == 1
+    assert S.limit_of([80] + [0] * 19) is None and S.limit_of([78, 0, 0, 0, 0, 1, 0, 0, 0, 1] + [0] * 10) is None
+    assert S.limit_of([0] * S.BINS) is None
