@@ -1,9 +1,14 @@
 """Language identification by averaged hashed subword embeddings.
 
 A text is the average of the embeddings of its hashed byte n-grams; a linear softmax reads its language. Both are
-trained by stochastic gradient descent in numpy on a bounded sample: by hash, at most MOST_EACH documents of each of
-the MOST_LANGUAGES most frequent languages. Part of the sample calibrates the softmax's temperature and the confidence
-under which a prediction is rejected. For use, embeddings and softmax are multiplied out into one table.
+trained by stochastic gradient descent in numpy on a sample of labelled rows, taken by hash: of each language at most
+MOST_EACH documents and a share of MOST_ROWS, but LEAST_EACH where it has them, so that every label can be learned and
+predicted. Part of the sample calibrates the softmax's temperature and the confidence under which a prediction is rejected.
+For use, embeddings and softmax are multiplied out into one table. Model and sample grow with the number of labels only.
+
+The sample is cut by a hash threshold for each language before any row is moved, so that the main language's rows don't
+meet in one task, and a document's features are its MOST_FEATURES most frequent buckets, so that the driver holds at
+most four bytes times these a row. Predictions use whole texts and all buckets.
 
 Defined results: a text that is null or has no letter gets `und` and score 0; without any labelled document every
 text gets `und`; null lang values and null ids are never learned from; a null doc_id is never held out; repeated rows give
@@ -23,7 +28,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import as_bytes, id_text_crc, map_rows, table, written
 
 FOLDS, HELD_OUT = 4, 2
-MOST_EACH, MOST_LANGUAGES = 800, 200
+MOST_EACH, MOST_ROWS, LEAST_EACH = 800, 8000, 12
+MOST_FEATURES = 4096
 GRAMS = (2, 3, 4)
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
@@ -94,7 +100,7 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_classe
         for i in rng.permutation(len(y)):
             rate = RATE * (1 - done / total)
             done += 1
-            at, share = features[i]
+            at, share = features[i][0], features[i][1].astype(np.float64)
             hidden = share @ embed[at]
             g = softmax(hidden @ weights + bias)
             g[y[i]] -= 1
@@ -119,17 +125,28 @@ def calibrated(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return t, float(p.max(axis=1)[order][enough[-1]]) if len(enough) else 1.0
 
 
+def sampled(open_docs: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """doc_id, lang of at most so many documents of each language, the first by hash.
+
+    A threshold from the language's number of rows lets about twice as many pass to the exact cut, some more where these
+    are few; so a task of the cut holds a bounded number of rows, however frequent the language."""
+    place = F.xxhash64("doc_id", F.lit(SEED))
+    share = (place / F.lit(float(1 << 63)) + 1) / 2
+    passing = open_docs.select("doc_id", "lang").join(F.broadcast(sizes.withColumnRenamed("lang", "_lid_of")), F.col("lang") == F.col("_lid_of"))
+    passing = passing.where(share * F.col("_lid_n") <= 2.0 * most + 40).select("doc_id", "lang").distinct()
+    order = Window.partitionBy("lang").orderBy(place, "doc_id")
+    return passing.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n")
+
+
 def fit(docs: DataFrame) -> Model:
     """Learn from text and lang of documents that aren't held out."""
     open_docs = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (id_text_crc() % FOLDS != HELD_OUT))
-    names = [r.lang for r in open_docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    names.sort()
+    sizes = written(open_docs.groupBy("lang").agg(F.count(F.lit(1)).alias("_lid_n")), "lid-languages")
+    names = sorted(r.lang for r in sizes.select("lang").collect())  # a class each
     if not names:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 1.0)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id")
-    chosen = open_docs.where(F.col("lang").isin(names)).select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= MOST_EACH)
+    chosen = sampled(open_docs, sizes, max(LEAST_EACH, min(MOST_EACH, MOST_ROWS // len(names))))
     chosen = chosen.groupBy(F.col("doc_id").alias("_lid_id")).agg(F.min("lang").alias("_lid_lang"))
-    # at most MOST_EACH * MOST_LANGUAGES short rows
     texts = open_docs.select("doc_id", as_bytes()).join(F.broadcast(chosen), F.col("doc_id") == F.col("_lid_id")).select("doc_id", "text", F.col("_lid_lang").alias("lang"))
 
     def rows(_, batch):
@@ -139,13 +156,17 @@ def fit(docs: DataFrame) -> Model:
             for b in buckets(t.as_py()):
                 counts += np.bincount(b, minlength=BUCKETS)
             at = np.flatnonzero(counts)
-            index.append(at.astype(np.int32))
-            share.append((counts[at] / max(1, counts.sum())).astype(np.float32))
+            if len(at) > MOST_FEATURES:
+                at = np.sort(at[np.argsort(-counts[at], kind="stable")[:MOST_FEATURES]])
+            index.append(at.astype(np.uint16))
+            share.append((counts[at] / max(1, counts.sum())).astype(np.float16))
         yield [batch.column(0), batch.column(2), [x.tobytes() for x in index], [x.tobytes() for x in share]]
 
-    found = sorted(written(map_rows(texts, rows, "doc_id long, lang string, at binary, share binary"), "lid-sample").collect(), key=lambda r: (r.doc_id, r.lang, r.at))
-    features = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["share"], np.float32).astype(np.float64)) for r in found]
-    y = np.array([names.index(r["lang"]) for r in found])
+    sample = written(map_rows(texts, rows, "doc_id long, lang string, at binary, share binary"), "lid-sample")
+    found = sorted(((r.doc_id, r.lang, bytes(r["at"]), bytes(r.share)) for r in sample.toLocalIterator()))
+    features = [(np.frombuffer(at, np.uint16), np.frombuffer(share, np.float16)) for _, _, at, share in found]
+    place = {name: k for k, name in enumerate(names)}
+    y = np.array([place[lang] for _, lang, _, _ in found])
     aside = np.arange(len(y)) % 5 == 0
     part = np.flatnonzero(~aside) if len(y) >= 20 else np.arange(len(y))
     logit_table, bias = train([features[i] for i in part], y[part], len(names))

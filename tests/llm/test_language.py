@@ -55,3 +55,39 @@ def test_pieces_of_a_long_text_give_the_same_buckets(monkeypatch):
     whole = np.sort(np.concatenate(list(L.buckets(text))))
     monkeypatch.setattr(L, "_PIECE", 64)
     assert (np.sort(np.concatenate(list(L.buckets(text)))) == whole).all()
+
+
+def many_languages(n: int, each: int, seed: int = 5) -> list[tuple[int, str, str]]:
+    """(doc_id, text, lang): every language has words of its own."""
+    rng = np.random.default_rng(seed)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    out = []
+    for k in range(n):
+        own = rng.choice(letters, 9, replace=False)
+        words = ["".join(rng.choice(own, rng.integers(2, 8))) for _ in range(40)]
+        out += [(len(out) + d, " ".join(rng.choice(words, 60)), f"l{k:03}") for d in range(each)]
+    return out
+
+
+def test_every_language_can_be_predicted(spark):
+    rows = many_languages(500, 24)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = L.fit(docs)
+    assert len(model.names) == 500
+    found = L.identified(docs, model).collect()
+    lang = {k: name for k, _, name in rows}
+    held = [(lang[r.doc_id], r.lang_pred) for r in found if r.held_out]
+    assert {p for _, p in held} == set(model.names) and np.mean([a == b for a, b in held]) > 0.95
+
+
+def test_the_sample_is_the_first_by_hash_and_bounded(spark):
+    rows = [(k, "t", "main" if k % 10 else f"l{k % 3}") for k in range(6000)] + [(7, "t", "main")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("_lid_n"))
+    got = {(r.doc_id, r.lang) for r in L.sampled(docs, sizes, 20).collect()}
+    hashed = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(L.SEED)).alias("h")).distinct().collect()}
+    want = set()
+    for name in ("main", "l0", "l1", "l2"):
+        own = sorted({k for k, _, x in rows if x == name}, key=lambda k: (hashed[k], k))
+        want |= {(k, name) for k in own[:20]}
+    assert got == want
