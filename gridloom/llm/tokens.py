@@ -7,6 +7,7 @@ the tokenizers form where it fails and where a special string is to be one id (t
 from __future__ import annotations
 
 import base64
+import json
 import os
 from collections.abc import Callable
 
@@ -15,6 +16,15 @@ import numpy as np
 VOCABULARY = "byte_bpe_50k"
 
 
+def special_strings(path: str) -> list[str]:
+    """The strings of the added tokens, which stand in the file before the vocabulary."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    at = text.index('"added_tokens"')
+    added, _ = json.JSONDecoder().raw_decode(text, text.index("[", at))
+    return [x["content"] for x in added]
+
+
 def encoder(place: str | None = None, *, special: bool = False) -> Callable[[str], np.ndarray]:
     """A function from a text to its ids; place: the folder of the vocabulary files, the installed one by default.
 
@@ -30,9 +40,8 @@ def encoder(place: str | None = None, *, special: bool = False) -> Callable[[str
     with open(path(f"{VOCABULARY}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    slow = Tokenizer.from_file(path(f"{VOCABULARY}.json"))
-    slow.encode_special_tokens = not special
-    added = [t.content for t in slow.get_added_tokens_decoder().values()] if special else []
+    added = special_strings(path(f"{VOCABULARY}.json")) if special else []
+    slow: list = []  # few texts need the other form, which takes much more memory
 
     def encode(text: str) -> np.ndarray:
         if not any(x in text for x in added):
@@ -41,7 +50,10 @@ def encoder(place: str | None = None, *, special: bool = False) -> Callable[[str
             except BaseException as e:  # the pattern's engine gives up on some extreme texts
                 if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
                     raise
-        return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+        if not slow:
+            slow.append(Tokenizer.from_file(path(f"{VOCABULARY}.json")))
+            slow[0].encode_special_tokens = not special
+        return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode
 
