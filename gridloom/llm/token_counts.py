@@ -6,7 +6,7 @@ separators came before, where the last one was) stitches documents that cross bl
 levels, so that no task sees all blocks of a file.
 
 Defined results: an empty document (two separators in a row) has 0 tokens; ids after the last separator of a file are an
-unfinished document; an empty file has no documents. For documents, a null text counts as empty, and repeated rows and
+unfinished document; an empty file has no documents; bytes at a file's end that make no whole id are no token. For documents, a null text counts as empty, and repeated rows and
 null ids are counted like any others; columns other than doc_id and text are not read.
 """
 
@@ -71,11 +71,26 @@ def flat_files(docs: DataFrame, place: str | None = None) -> tuple[DataFrame, Da
 
 
 def blocks_of(files: DataFrame, width: int = 2) -> DataFrame:
-    """Blocks of flat files read by the binaryFile source (path, content); file is the path."""
+    """Blocks of flat files; files: path and length, as the binaryFile source gives them (it then reads no content).
+
+    Executors read the byte ranges of blocks, each by itself, so a file may have any length. The path is a URI that
+    pyarrow's file systems open; file is the path."""
     size = BLOCK_IDS * width
-    n = F.greatest(F.lit(0), F.ceil(F.length("content") / size) - 1)
-    cut = files.where(F.length("content") > 0).select(F.col("path").alias("file"), "content", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long"))).alias("block"))
-    return cut.select("file", "block", F.substring("content", (F.col("block") * size + 1).cast("int"), F.lit(size)).alias("ids"))
+    last = F.ceil(F.col("length") / size) - 1
+    cut = files.where("length > 0").select(F.col("path").alias("file"), F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("block"))
+    cut = cut.repartition(F.xxhash64("file", "block"))
+
+    def rows(_, batch):
+        from pyarrow import fs
+
+        for path, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            uri = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+            system, own = fs.FileSystem.from_uri(uri)
+            with system.open_input_file(own) as f:
+                f.seek(block * size)
+                yield [[path], [block], [f.read(size)]]
+
+    return map_rows(cut, rows, "file string, block long, ids binary")
 
 
 def scan(blocks: DataFrame, end: int = END, width: int = 2, block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -85,7 +100,8 @@ def scan(blocks: DataFrame, end: int = END, width: int = 2, block_ids: int = BLO
     def rows(_, batch):
         n, first, last, gaps, begins, at = [], [], [], [], [], []
         for ids, block in zip(batch.column(2), batch.column(1), strict=True):
-            data = np.frombuffer(ids.as_py(), kind)
+            data = np.frombuffer(ids.as_py(), np.uint8)
+            data = data[: len(data) // width * width].view(kind)
             seps = np.flatnonzero(data == end) + block.as_py() * block_ids
             n.append(len(seps))
             first.append(int(seps[0]) if len(seps) else None)

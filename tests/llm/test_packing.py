@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridloom.llm import best_fit_pack as B
@@ -197,6 +198,32 @@ def test_files_of_ids(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(C, "BLOCK_IDS", 4)
     (tmp_path / "a.bin").write_bytes(np.array([1, 2, 9, 3, 9, 9, 7], "<u2").tobytes())
     (tmp_path / "b.bin").write_bytes(b"")
-    files = spark.read.format("binaryFile").load(f"file://{tmp_path}/*.bin")
+    files = spark.read.format("binaryFile").load(f"file://{tmp_path}/*.bin").select("path", "length")
     out = C.scan(C.blocks_of(files), end=9, block_ids=4).orderBy("ordinal").collect()
     assert [(r.start, r.n_tokens, r.finished) for r in out] == [(0, 2, True), (3, 1, True), (5, 0, True), (6, 1, False)]
+
+
+def test_a_torn_last_id_is_no_token(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK_IDS", 4)
+    ids = np.array([1, 9, 3, 4, 5, 9, 7], "<u2").tobytes()
+    for name, torn in (("a.bin", b"\x09"), ("b.bin", b"\x01")):
+        (tmp_path / name).write_bytes(ids + torn)
+    (tmp_path / "c.bin").write_bytes(b"\x05")
+    files = spark.read.format("binaryFile").load(f"file://{tmp_path}/*.bin").select("path", "length")
+    out = C.scan(C.blocks_of(files), end=9, block_ids=4).orderBy("file", "ordinal").collect()
+    assert [(r.start, r.n_tokens, r.finished) for r in out] == [(0, 1, True), (2, 3, True), (6, 1, False)] * 2
+
+
+def test_a_sparse_file_beyond_two_gib_is_read_in_ranges(spark, tmp_path):
+    """The last block of a file of 2.5 GiB, by itself."""
+    size = 5 << 29
+    with open(tmp_path / "large.bin", "wb") as f:
+        f.truncate(size)
+        f.seek(size - 6)
+        f.write(np.array([9, 3, 9], "<u2").tobytes())
+    files = spark.read.format("binaryFile").load(f"file://{tmp_path}/large.bin").select("path", "length")
+    blocks = C.blocks_of(files)
+    assert files.first().length == size and blocks.count() == -(-size // (2 * C.BLOCK_IDS))
+    last = -(-size // (2 * C.BLOCK_IDS)) - 1
+    out = C.scan(blocks.where(F.col("block") == last), end=9).orderBy("ordinal").collect()
+    assert [(r.start, r.n_tokens) for r in out][1:] == [(size // 2 - 2, 1)]
