@@ -25,9 +25,10 @@ from gridloom.llm.common import as_bytes, map_rows, table, written
 
 SHINGLE = 3
 MOST_BITS = 3
-#: Widths of the bands by level: each level splits the bits that its ancestors left over into four.
-LEVELS = (16, 12, 9, 7)
-#: A band value that more fingerprints share is split at the next level; the last level takes any number in windows.
+#: Widths of the bands by level: each level splits the bits that its ancestors left over into four. The last one leaves
+#: 11 bits, in which at most 2,048 different fingerprints can differ, so that no group of it is large.
+LEVELS = (16, 12, 9, 7, 5, 4)
+#: A band value that more fingerprints share is split at the next level.
 GROUP_MOST = 4096
 #: Rows of whole groups that are compared at once.
 BATCH_LEAST = 32_768
