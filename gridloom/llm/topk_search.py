@@ -7,8 +7,8 @@ Essential postings are traversed, the other terms are probed only for documents
 merged by rank.
 
 Defined results: vectors that are null, empty or hold a null or a non-finite component take no part, nor do rows
-without vec_id; a shorter vector counts as ended by zeros; rows with the query's own vec_id are no candidates; repeated
-rows of one vec_id and vector count once, and of several vectors of one id the smallest asks; fewer than k candidates
+without vec_id; a shorter vector counts as ended by zeros; rows with the query's own vec_id are no candidates; every
+other row is a candidate, so repeated rows take a rank each; of several vectors of one id the smallest asks; fewer than k candidates
 give all of them; scores beyond 64 bits are refused with an error.
 """
 
@@ -25,7 +25,7 @@ QUERY_STEP = 50
 SCALE = 256
 #: Vectors of a shard and queries of a block, on average; their numbers follow the tables' sizes.
 SHARD_ROWS = 8192
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 16_384
 LEAST_SHARDS = 12
 #: Documents whose essential postings are traversed at once.
 WINDOW = 1024
@@ -37,7 +37,7 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     big = float(1 << 62)
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     value = F.transform("embedding", lambda x: F.when(F.abs(x.cast("double") * scale) < big, F.floor(x.cast("double") * scale)).otherwise(F.raise_error(F.lit("component beyond 64 bits")).cast("long")))
-    return vectors.where(whole & fine).select(F.col("vec_id").cast("long").alias("vec_id"), value.alias("v")).distinct()
+    return vectors.where(whole & fine).select(F.col("vec_id").cast("long").alias("vec_id"), value.alias("v"))
 
 
 def matrix(column) -> np.ndarray:
@@ -118,13 +118,15 @@ def search_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP) -> DataFrame:
-    """query_id, rank, vec_id, score for tables of (vec_id, v). Blocks of queries meet shards of vectors in pairs."""
+    """query_id, rank, vec_id, score for tables of (vec_id, v), vectors with _row, a number of the row's own.
+
+    Blocks of queries meet shards of vectors in pairs."""
     n, m = vectors.count(), queries.count()
     shards, blocks = max(LEAST_SHARDS, -(-n // SHARD_ROWS)), max(1, -(-m // BLOCK_ROWS))
-    shard = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards))
+    shard = F.pmod(F.xxhash64("vec_id", "_row", F.lit(1)), F.lit(shards))  # rows of one id are spread as well
     block = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks))
     left = queries.withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    right = vectors.withColumn("shard", shard).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    right = vectors.withColumn("shard", shard).drop("_row").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def pair(a, b):
         import pyarrow as pa
@@ -141,7 +143,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP) -> DataFrame:
 
 
 def op10_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = written(quantised(table(spark, sf_dir, "embeddings")), "topk-vectors")
+    vectors = written(quantised(table(spark, sf_dir, "embeddings")).withColumn("_row", F.monotonically_increasing_id()), "topk-vectors")
     asked = vectors.where(F.pmod("vec_id", F.lit(QUERY_STEP)) == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     return top_k(asked, vectors)
 
@@ -149,7 +151,7 @@ def op10_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = {
     "op10_maxscore_top_k": f"""
 WITH parts AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),

@@ -15,7 +15,7 @@ def brute(rows, k=5, step=50):
     for i, v in rows:
         if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
             kept.append((i, tuple(math.floor(256 * float(x)) for x in v)))
-    kept = sorted(set(kept))
+    kept.sort()
     out, asked = [], {}
     for i, v in kept:
         if i % step == 0:
@@ -57,3 +57,11 @@ def test_large_components_stay_exact(spark, tmp_path):
 def test_sql(spark):
     sf = "/root/testdata/sf0.001"
     assert from_spark(K.op10_maxscore_top_k(spark, sf)) == from_sql(connect(sf), K.ORACLE_SQL["op10_maxscore_top_k"])
+
+
+def test_repeated_rows_take_a_rank_each(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(K, "SHARD_ROWS", 3)
+    rows = [(0, [1.0, 1.0], 0)] + [(1, [2.0, 2.0], 0)] * 3 + [(2, [2.0, 2.0], 0)] * 2 + [(3, [9.0, -1.0], 0), (50, [1.0, 0.0], 0), (50, [1.0, 0.0], 0)]
+    out = found(spark, rows, tmp_path)
+    assert out == brute([(r[0], r[1]) for r in rows])
+    assert [x[2] for x in out if x[0] == 0] == [3, 1, 1, 1, 2]
