@@ -138,8 +138,18 @@ def best_limit(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
 
 def sampled(docs: DataFrame, most: int) -> DataFrame:
-    """Ids of at most so many documents, by hash."""
-    return docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(most)
+    """Ids of at most so many documents, the first by hash.
+
+    A threshold from the number of rows keeps back all but about twice as many before any row moves; where ids repeat so
+    often that too few are left, it is raised."""
+    hashed = docs.select("doc_id").withColumn("_tox_h", F.xxhash64("doc_id", F.lit(SEED)))
+    n, passing = hashed.count(), 2.0 * most + 100
+    while True:
+        least = hashed.where((F.col("_tox_h") / F.lit(float(1 << 63)) + 1) / 2 * n <= passing) if passing < n else hashed
+        ids = written(least.distinct().orderBy("_tox_h", "doc_id").limit(most).select("doc_id"), "toxicity-ids")
+        if passing >= n or ids.count() >= most:
+            return ids
+        passing *= 16
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
