@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import numbers as N
 from gridloom.functions.dtypes import require
-from gridloom.functions.index import Box, check_box, inside, names, shape_of
+from gridloom.functions.index import Box, check_box, inside, linear, names, shape_of
 from gridloom.operators.elementwise import upsert
 from gridloom.plans.engine import Array
 from gridloom.plans.prefix import numbered
@@ -231,8 +231,15 @@ def segment(a: Array, process: int) -> DataFrame:
     return a.df.where(a.layout.owner_column() == process)
 
 
+#: Cells that one frame of map_blocks holds at most.
+FRAME_CELLS = 1 << 20
+
+
 def map_blocks(a: Array, fn, dtype=None) -> Array:
-    """fn(pandas frame of a process' cells) -> frame of the same columns, for each process; the array's new version."""
+    """fn(pandas frame of a process' cells) -> frame of the same columns, for each process; the array's new version.
+
+    A process that holds much gets several frames, each of the cells of one range of FRAME_CELLS linear indices.
+    """
     schema = ", ".join(f"{n} long" for n in a.index) + f", v {(dtype or a.dtype).spark.simpleString()}"
-    owned = a.df.withColumn("_owner", a.layout.owner_column())
-    return a.with_df(owned.groupBy("_owner").applyInPandas(lambda pdf: fn(pdf.drop(columns="_owner")), schema), **({"dtype": dtype} if dtype else {}))
+    owned = a.df.withColumn("_owner", a.layout.owner_column()).withColumn("_part", F.floor(linear(a.dims) / FRAME_CELLS))
+    return a.with_df(owned.groupBy("_owner", "_part").applyInPandas(lambda pdf: fn(pdf.drop(columns=["_owner", "_part"])), schema), **({"dtype": dtype} if dtype else {}))

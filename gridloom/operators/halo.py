@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 from itertools import product
+from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,18 +13,25 @@ from pyspark.sql import functions as F
 from gridloom.functions import numbers as N
 from gridloom.operators.access import periodic_get
 from gridloom.plans.engine import Array
+from gridloom.plans.layout import Layout
 
 
 def images(a: Array, d: int, width: int) -> Column:
-    """array<struct<block, at, out>>: the blocks along dimension d whose halo or inside a cell lies in, and where."""
-    starts, n, x = a.layout.starts[d], a.dims[d], F.col(f"i{d}")
-    ends = [*(s - 1 for s in starts[1:]), n - 1]
-    found = []
-    for b, (s, e) in enumerate(zip(starts, ends, strict=True)):
-        for shift in (-n, 0, n) if width else (0,):
-            at = x + shift
-            here = F.struct(F.lit(b).cast("long").alias("block"), at.cast("long").alias("at"), (~at.between(s, e)).alias("out"))
-            found.append(F.when(at.between(s - width, e + width), here))
+    """array<struct<block, at, out>>: the blocks along dimension d whose halo or inside a cell lies in, and where.
+
+    A cell is held against its own block and the blocks that a halo can reach from it, one on each side unless blocks are
+    narrower than the halo: work and plan don't grow with the number of blocks.
+    """
+    layout, n, x = a.layout, a.dims[d], F.col(f"i{d}")
+    blocks = len(layout.starts[d])
+    own = layout.block_column(d, x)
+    found = [F.struct(own.alias("block"), x.alias("at"), F.lit(False).alias("out"))]
+    reach = -(-width // layout.least_size(d))
+    for o in [*range(-reach, 0), *range(1, reach + 1)]:
+        turns = F.floor((own + o) / blocks).cast("long")
+        block, at = own + o - turns * blocks, x - turns * n
+        inside = at.between(layout.start_column(d, block) - width, layout.start_column(d, block + 1) - 1 + width)
+        found.append(F.when(inside, F.struct(block.alias("block"), at.alias("at"), F.lit(True).alias("out"))))
     return F.array_compact(F.array(*found))
 
 
@@ -52,23 +61,22 @@ def update_ghost_dir(a: Array, dimension: int, direction: int) -> DataFrame:
     """Only the halo on one side (-1 or 1) of one dimension."""
     if not 0 <= dimension < a.ndim or direction not in (-1, 1):
         raise ValueError(f"dimension {dimension}, direction {direction}")
-    all_cells = update_ghosts(a)
-    starts = F.array(*map(F.lit, a.layout.starts[dimension]))
-    low = F.element_at(starts, (F.col(f"b{dimension}") + 1).cast("int"))
-    ends = F.array(*(F.lit(e) for e in [*(s - 1 for s in a.layout.starts[dimension][1:]), a.dims[dimension] - 1]))
-    high = F.element_at(ends, (F.col(f"b{dimension}") + 1).cast("int"))
+    low, high = bounds(a, dimension)
     at = F.col(f"i{dimension}")
-    return all_cells.where(at < low if direction < 0 else at > high)
+    return update_ghosts(a).where(at < low if direction < 0 else at > high)
+
+
+def bounds(a: Array, d: int) -> tuple[Column, Column]:
+    """First and last index of the block b<d>."""
+    return a.layout.start_column(d, F.col(f"b{d}")), a.layout.start_column(d, F.col(f"b{d}") + 1) - 1
 
 
 def nb_get_ghost_dir(a: Array, mask: Sequence[int]) -> DataFrame:
     """The halo whose direction has the mask's sign in every dimension."""
     cells = update_ghosts(a)
     for d, m in enumerate(mask):
-        starts = F.array(*map(F.lit, a.layout.starts[d]))
-        ends = F.array(*(F.lit(e) for e in [*(s - 1 for s in a.layout.starts[d][1:]), a.dims[d] - 1]))
-        at, b = F.col(f"i{d}"), (F.col(f"b{d}") + 1).cast("int")
-        low, high = F.element_at(starts, b), F.element_at(ends, b)
+        low, high = bounds(a, d)
+        at = F.col(f"i{d}")
         cells = cells.where(at < low if m < 0 else at > high if m > 0 else at.between(low, high))
     return cells
 
@@ -94,27 +102,63 @@ def ghost_element(a: Array, block: Sequence[int], subscript: Sequence[int]):
     return None if row is None else row[0]
 
 
+#: Cells of a stencil's tile at most.
+TILE_CELLS = 1 << 16
+
+
+def tile_edges(dims: Sequence[int], reach: Sequence[int]) -> list[int]:
+    """Edges of tiles of at most TILE_CELLS cells, the longest sides halved first, no edge shorter than the reach."""
+    edge = list(dims)
+    while prod(edge) > TILE_CELLS:
+        able = [d for d in range(len(edge)) if edge[d] > max(1, reach[d])]
+        if not able:
+            break
+        d = max(able, key=lambda k: edge[k])
+        edge[d] = max(reach[d], 1, -(-edge[d] // 2))
+    return edge
+
+
 def stencil(a: Array, weights: Mapping[Sequence[int], float], periodic: bool = True) -> Array:
-    """v'[i] = sum of weights[offset] * v[i + offset]: each cell is sent to its neighbours and summed there.
+    """v'[i] = sum of weights[offset] * v[i + offset].
 
-    Not periodic: neighbours outside the array count as 0.
+    Tiles with their halos are built by one shuffle of the cells, each of which goes to its own tile and to those whose
+    halo it lies in, and slices of a tile are added up in numpy. Not periodic: neighbours outside the array count as 0.
     """
     if not weights or any(len(o) != a.ndim for o in weights):
         raise ValueError("an offset for each dimension is needed")
     if a.dtype.kind == "complex":
         raise ValueError("stencils take real types")
-    rules = F.array(*(F.struct(*(F.lit(-x).cast("long").alias(f"o{d}") for d, x in enumerate(o)), F.lit(float(w)).alias("w")) for o, w in weights.items()))
-    sent = a.df.withColumn("_r", F.explode(rules))
-    at = {n: F.col(n) + F.col(f"_r.o{d}") for d, n in enumerate(a.index)}
-    if periodic:
-        at = {n: F.pmod(x, F.lit(size)) for (n, x), size in zip(at.items(), a.dims, strict=True)}
-    sent = sent.select(*(x.alias(n) for n, x in at.items()), (F.col("v").cast("double") * F.col("_r.w")).alias("_x"))
-    if not periodic:
-        for n, size in zip(a.index, a.dims, strict=True):
-            sent = sent.where(F.col(n).between(0, size - 1))
-    total = sent.groupBy(*a.index).agg(F.sum("_x").alias("v"))
-    if not periodic and tuple([0] * a.ndim) not in {tuple(o) for o in weights}:
-        total = a.df.select(*a.index).join(total, a.index, "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    reach = [max(abs(o[d]) for o in weights) for d in range(a.ndim)]
+    if any(r > n for r, n in zip(reach, a.dims, strict=True)):
+        raise ValueError("an offset reaches beyond the array")
+    edge = tile_edges(a.dims, reach)
+    tiled = replace(a, layout=Layout.blocks_of_size("tiled", a.dims, edge, 1, [1] * a.ndim), ghosts=tuple(reach), corners=True)
+    cells = tiled.df.select(*a.index, F.col("v").cast("double").alias("v"))
+    for d, r in enumerate(reach):
+        cells = cells.withColumn(f"_g{d}", F.explode(images(tiled, d, r)))
+        if not periodic:
+            cells = cells.where(F.col(f"_g{d}.at") == F.col(f"i{d}"))
+    keys = [f"b{d}" for d in range(a.ndim)]
+    cells = cells.select(*(F.col(f"_g{d}.block").alias(f"b{d}") for d in range(a.ndim)), *(F.col(f"_g{d}.at").alias(n) for d, n in enumerate(a.index)), "v")
+    index, dims = a.index, a.dims
+    rules = [(tuple(o), float(w)) for o, w in weights.items()]
+
+    def slid(key, t):
+        import numpy as np
+        import pyarrow as pa
+
+        corner = [k.as_py() * e for k, e in zip(key, edge, strict=True)]
+        inner = [min(e, n - c) for e, n, c in zip(edge, dims, corner, strict=True)]
+        own = np.zeros([n + 2 * r for n, r in zip(inner, reach, strict=True)])
+        at = [t.column(n).to_numpy() - c + r for n, c, r in zip(index, corner, reach, strict=True)]
+        own[tuple(at)] = t.column("v").to_numpy()
+        out = np.zeros(inner)
+        for o, w in rules:
+            out += w * own[tuple(slice(r + x, r + x + n) for r, x, n in zip(reach, o, inner, strict=True))]
+        places = np.indices(inner).reshape(len(inner), -1)
+        return pa.table({n: places[d] + corner[d] for d, n in enumerate(index)} | {"v": out.ravel()})
+
+    total = cells.groupBy(*keys).applyInArrow(slid, ", ".join([*(f"{n} long" for n in index), "v double"]))
     return a.with_df(total.withColumn("v", N.narrowed(F.col("v"), a.dtype)))
 
 

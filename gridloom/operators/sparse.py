@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import numbers as N
 from gridloom.functions.dtypes import DType, as_dtype
 from gridloom.plans.engine import Array, Engine
+from gridloom.sources import storage
 
 
 @dataclass(frozen=True)
@@ -60,8 +61,8 @@ def block_of(x: Column, size: int, n: int) -> Column:
 
 
 def assemble(s: Sparse) -> Sparse:
-    """Rows dealt by row block, so that later operations by row find them together."""
-    return s.with_df(s.df.repartition(s.n_blocks, block_of(F.col("i"), s.dims[0], s.n_blocks), F.col("i")))
+    """Rows dealt by row, so that later operations by row find them together; the session says into how many partitions."""
+    return s.with_df(s.df.repartition("i"))
 
 
 def row_distribution(s: Sparse, process: int) -> tuple[int, int]:
@@ -88,10 +89,14 @@ def get_block(s: Sparse, row_block: int, column_block: int) -> DataFrame:
     return s.df.where((block_of(F.col("i"), s.dims[0], s.n_blocks) == row_block) & (block_of(F.col("j"), s.dims[1], s.n_blocks) == column_block))
 
 
+#: Columns whose elements of a row share one array at most.
+SEGMENT_COLUMNS = 1 << 16
+
+
 def compressed_rows(s: Sparse, row_block: int, column_block: int) -> DataFrame:
-    """A block by row: i, columns in order, and their values."""
+    """A block by row: i, columns in order, and their values; a row over more than SEGMENT_COLUMNS columns comes in segments."""
     pairs = F.array_sort(F.collect_list(F.struct("j", "v")))
-    return get_block(s, row_block, column_block).groupBy("i").agg(pairs.alias("x")).select("i", F.col("x.j").alias("columns"), F.col("x.v").alias("values"))
+    return get_block(s, row_block, column_block).groupBy("i", F.floor(F.col("j") / SEGMENT_COLUMNS).alias("_s")).agg(pairs.alias("x")).select("i", F.col("x.j").alias("columns"), F.col("x.v").alias("values"))
 
 
 def from_dense(a: Array) -> Sparse:
@@ -250,12 +255,15 @@ def export_lines(s: Sparse) -> DataFrame:
 
 
 def export(s: Sparse, path: str, one_file: bool = True) -> None:
-    """Write the matrix as text; one_file: a single part, as other tools want it; else as many as sorting makes."""
-    lines = export_lines(s)
-    if one_file:
-        lines.coalesce(1).sortWithinPartitions("_i", "_j").select("value").write.mode("overwrite").text(path)
-    else:
-        lines.orderBy("_i", "_j").select("value").write.mode("overwrite").text(path)
+    """Write the matrix as text, sorted in ranges, a part each; one_file: the parts are joined by copying streams, as other tools want it."""
+    lines = export_lines(s).orderBy("_i", "_j").select("value")
+    if not one_file:
+        lines.write.mode("overwrite").text(path)
+        return
+    spark, parts = s.engine.spark, f"{path.rstrip('/')}.parts"
+    lines.write.mode("overwrite").text(parts)
+    storage.joined(spark, parts, f"{path.rstrip('/')}/part-00000.txt")
+    storage.delete(spark, parts)
 
 
 def load(engine: Engine, path: str, dtype: str | DType = "double") -> Sparse:

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from gridloom.functions import numbers as N
 from gridloom.functions.dtypes import DType, as_dtype
 from gridloom.functions.index import Box, check_box, full, inside, names, subscripts
+from gridloom.plans import versions
 from gridloom.plans.layout import Layout
 
 VERSION = (1, 0, 0)
@@ -170,7 +171,7 @@ class Engine:
     default_group: int = 0
     mutexes: list[threading.Lock] = field(default_factory=list)
     counters: dict[str, int] = field(default_factory=dict)
-    _random: random.Random = field(default_factory=lambda: random.Random(121238))
+    _random: random.Random = field(default_factory=lambda: random.Random(20_261_126))
 
     def __post_init__(self) -> None:
         self.groups.setdefault(0, Group(tuple(range(self.n_processes)), 0))
@@ -359,3 +360,16 @@ class Engine:
     def checkpointed(self, a: Array) -> Array:
         """The same cells, without lineage, in the folder that spark.checkpoint.dir names."""
         return replace(a, df=a.df.checkpoint())
+
+    def save(self, path: str, *arrays: Array) -> None:
+        """Named arrays in a folder that outlives the session; each is a new version, recorded once all its cells are there."""
+        for a in arrays:
+            if not a.name:
+                raise ValueError("only named arrays can be recovered")
+            versions.commit(self.spark, f"{path.rstrip('/')}/{a.name}", a.df, {"dtype": a.dtype.name, "dims": list(a.dims), "ghosts": list(a.ghosts)})
+
+    def recover(self, path: str, name: str) -> Array:
+        """The last recorded version of an array, in this or another session."""
+        df, said = versions.latest(self.spark, f"{path.rstrip('/')}/{name}")
+        dims, d = tuple(said["dims"]), as_dtype(said["dtype"])
+        return self.register(replace(self.from_df(df, dims, d, name=name), ghosts=tuple(said["ghosts"])))

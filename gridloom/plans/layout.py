@@ -32,10 +32,6 @@ def process_grid(dims: Sequence[int], n: int, chunk: Sequence[int] | None = None
     return grid
 
 
-def upto(x: Column):
-    return lambda s: s <= x
-
-
 @dataclass(frozen=True)
 class Layout:
     kind: str  # regular, block_cyclic, scalapack, tiled, tiled_irreg
@@ -111,19 +107,46 @@ class Layout:
             process //= g
         return out[::-1]
 
+    def rule(self, d: int) -> str:
+        """How a block is found along a dimension: even cuts, blocks of one size, or a search in the starts."""
+        starts, n = self.starts[d], self.dims[d]
+        g = len(starts)
+        if all(s == k * n // g for k, s in enumerate(starts)):
+            return "even"
+        size = starts[1]
+        return "size" if all(s == k * size for k, s in enumerate(starts)) and n - starts[-1] <= size else "search"
+
+    def block_column(self, d: int, x: Column) -> Column:
+        """The number of the block that holds x, along a dimension; the plan's size doesn't depend on the number of blocks,
+        but for one array of starts where they follow no rule."""
+        starts, rule = self.starts[d], self.rule(d)
+        if len(starts) == 1:
+            return F.lit(0).cast("long")
+        if rule == "even":
+            return F.floor(((x + 1) * len(starts) - 1) / F.lit(self.dims[d])).cast("long") if self.dims[d] * len(starts) < 1 << 52 else F.call_function("div", (x + 1) * len(starts) - 1, F.lit(self.dims[d]))
+        if rule == "size":
+            return F.floor(x / starts[1]).cast("long")
+        steps = F.array(*(F.lit(1 << k) for k in range(len(starts).bit_length() - 1, -1, -1)))
+        known = F.array(*map(F.lit, starts))
+        step = lambda at, k: F.when((at + k < len(starts)) & (F.try_element_at(known, (at + k + 1).cast("int")) <= x), at + k).otherwise(at)
+        return F.aggregate(steps, F.lit(0), step).cast("long")
+
+    def start_column(self, d: int, block: Column) -> Column:
+        """The first index of a block; of the number after the last one, the size."""
+        starts, rule = self.starts[d], self.rule(d)
+        if rule == "even":
+            return F.floor(block * self.dims[d] / F.lit(len(starts))).cast("long")
+        if rule == "size":
+            return F.least(block * starts[1], F.lit(self.dims[d])).cast("long")
+        return F.element_at(F.array(*map(F.lit, (*starts, self.dims[d]))), (block + 1).cast("int")).cast("long")
+
+    def least_size(self, d: int) -> int:
+        ends = (*self.starts[d][1:], self.dims[d])
+        return min(e - s for s, e in zip(self.starts[d], ends, strict=True))
+
     def block_columns(self) -> list[Column]:
         """The block's number along each dimension, from the index columns."""
-        out = []
-        for d, starts in enumerate(self.starts):
-            steps = {b - a for a, b in zip(starts, starts[1:], strict=False)}
-            x = F.col(f"i{d}")
-            if len(starts) == 1:
-                out.append(F.lit(0).cast("long"))
-            elif len(steps) == 1 and self.dims[d] - starts[-1] <= starts[1]:
-                out.append(F.floor(x / starts[1]))
-            else:
-                out.append(F.size(F.filter(F.array(*map(F.lit, starts)), upto(x))).cast("long") - 1)
-        return out
+        return [self.block_column(d, F.col(f"i{d}")) for d in range(len(self.dims))]
 
     def owner_column(self) -> Column:
         block, out = self.block_columns(), F.lit(0).cast("long")

@@ -138,18 +138,12 @@ def write_section(a: Array, source: Box, d: DiskArray, target: Box, trans: bool
     check_same(a, d)
     source, target = check_box(source, a.dims), check_box(target, d.dims)
     new = placed(a, source, target, trans)
-    spark = d.engine.spark
     touched = [(lo // c * c, min(n - 1, hi // c * c + c - 1)) for lo, hi, c, n in zip(*target, d.chunk, d.dims, strict=True)]
     old = stored(d, ([t[0] for t in touched], [t[1] for t in touched])).select(*names(a.ndim), "v")
     kept = old.where(~inside(target))
     cells = cut(dealt(d, kept.unionByName(new)), "section")  # the blocks are read before they are replaced
     keys = [f"b{k}" for k in range(a.ndim)]
-    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        cells.repartition(*keys).sortWithinPartitions(*keys, *names(a.ndim)).write.mode("overwrite").partitionBy(*keys).parquet(d.data)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    cells.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(d.data)
     return d
 
 

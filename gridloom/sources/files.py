@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import shutil
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +39,8 @@ class SharedFile:
         if not self.writable:
             raise PermissionError(f"{self.path} is read-only")
         last = self.pieces().agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
-        rows.select(F.lit(last + 1).cast("long").alias("seq"), F.col("offset").cast("long").alias("offset"), "bytes").write.mode("append").parquet(self.data)
+        seq = max(last + 1, time.time_ns())  # writers at the same time don't share a number
+        rows.select(F.lit(seq).cast("long").alias("seq"), F.col("offset").cast("long").alias("offset"), "bytes").write.mode("append").parquet(self.data)
 
     def write(self, offset: int, data: bytes) -> None:
         self.write_rows(self.spark.createDataFrame([(offset, bytearray(data))], "offset long, bytes binary"))

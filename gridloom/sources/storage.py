@@ -53,3 +53,21 @@ def write_json(spark: SparkSession, path: str, value: dict) -> None:
 def read_json(spark: SparkSession, path: str) -> dict:
     rows = spark.read.text(path, wholetext=True).collect()  # one small file
     return json.loads(rows[0][0])
+
+
+def joined(spark: SparkSession, folder: str, to: str) -> None:
+    """The part files of a folder, in order of name, as one file; bytes are copied as streams, in pieces."""
+    fs, at = file_system(spark, folder)
+    target, to_at = file_system(spark, to)
+    parts = sorted((x.getPath() for x in fs.listStatus(at) if x.getPath().getName().startswith("part-")), key=lambda x: x.getName())
+    target.delete(to_at.getParent(), True)
+    out = target.create(to_at, True)
+    try:
+        for part in parts:
+            given = fs.open(part)
+            try:
+                spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes(given, out, 1 << 16, False)
+            finally:
+                given.close()
+    finally:
+        out.close()

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.dtypes import DType
-from gridloom.functions.index import inside, linear
+from gridloom.functions.index import inside, linear, shape_of
 from gridloom.plans.engine import Array, Engine
 
 #: Columns of a printed table at most.
@@ -41,12 +42,15 @@ def table(a: Array, lo: Sequence[int] | None = None, hi: Sequence[int] | None =
 
 
 def print_patch(a: Array, lo: Sequence[int] | None = None, hi: Sequence[int] | None = None, pretty: bool = True, most: int = 1000) -> str:
-    """The box as text, at most so many rows; it is printed and returned."""
+    """The box as text, at most so many rows, and how many were left out; it is printed and returned. print_file writes them all."""
+    box = a.box(lo, hi)
     if pretty and a.ndim == 2:
         rows = table(a, lo, hi).limit(most).collect()
-        out = [" ".join(map(str, r)) for r in rows]
+        out, n = [" ".join(map(str, r)) for r in rows], box[1][0] - box[0][0] + 1
     else:
-        out = [r["value"] for r in lines(a, lo, hi).orderBy("lin").limit(most).collect()]
+        out, n = [r["value"] for r in lines(a, lo, hi).orderBy("lin").limit(most).collect()], prod(shape_of(box))
+    if n > len(out):
+        out.append(f"... {n - len(out)} more rows")
     text = "\n".join([f"array {a.name or '-'} {a.dtype.name} {list(a.dims)}", *out])
     print(text)
     return text

@@ -2,7 +2,9 @@
 
 Every micro-batch is reduced to one row per cell and written to a folder named after its number, so that a batch which
 runs again replaces what it had written: each update counts once. The array at any time is its base with the batches
-on top; compaction folds finished batches into a new base.
+on top; compaction folds finished batches into a new base, which is kept beside the updates as a version with a record
+of the last batch in it. Batches up to it no longer count, so a stop between any two steps neither loses nor repeats
+updates, and a later session resumes from the record.
 """
 
 from __future__ import annotations
@@ -15,8 +17,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gridloom.operators import access
 from gridloom.operators.access import checked_subscripts
+from gridloom.plans import versions
 from gridloom.plans.engine import Array
-from gridloom.plans.lineage import cut
 from gridloom.sources import storage
 
 
@@ -27,6 +29,7 @@ class Growing:
     base: Array
     path: str
     op: str = "acc"  # or put: the update with the greatest pos holds, later batches over earlier ones
+    folded: int = -1  # the last batch that is in the base
 
     def __post_init__(self) -> None:
         if self.op not in ("acc", "put") or self.base.dtype.kind == "complex":
@@ -54,7 +57,7 @@ class Growing:
         spark = self.base.engine.spark
         if not storage.exists(spark, self.updates):
             return spark.createDataFrame([], self.schema())
-        return spark.read.schema(self.schema()).option("basePath", self.updates).parquet(self.updates)
+        return spark.read.schema(self.schema()).option("basePath", self.updates).parquet(self.updates).where(F.col("batch") > self.folded)
 
     def current(self, upto: int | None = None) -> Array:
         """The array with all batches, or those up to a number."""
@@ -65,11 +68,23 @@ class Growing:
         return access.scatter(self.base, rows.withColumnRenamed("batch", "pos"))
 
     def compact(self, upto: int) -> Growing:
-        """Fold batches up to a number into the base; their folders go once the new base is written."""
-        folded = self.current(upto)
-        folded = folded.with_df(cut(folded.df, "compacted"))
+        """Fold batches up to a number into the base; their folders go once the new base is written and recorded."""
         spark = self.base.engine.spark
         done = [r["batch"] for r in self.pending().where(F.col("batch") <= upto).select("batch").distinct().collect()]  # one row for each batch
+        last = max([self.folded, *done])
+        df = versions.commit(spark, self.kept, self.current(upto).df, {"folded": last, "op": self.op})
         for batch in done:
             storage.delete(spark, f"{self.updates}/batch={batch}")
-        return Growing(folded, self.path, self.op)
+        return Growing(self.base.with_df(df), self.path, self.op, last)
+
+    @property
+    def kept(self) -> str:
+        return f"{self.path.rstrip('/')}/base"
+
+    def resumed(self) -> Growing:
+        """With the base that the last compaction recorded, if there was any: how a new session goes on."""
+        try:
+            df, said = versions.latest(self.base.engine.spark, self.kept)
+        except ValueError:
+            return self
+        return Growing(self.base.with_df(df), self.path, said["op"], said["folded"])

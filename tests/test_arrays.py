@@ -447,3 +447,67 @@ def test_catalog(engine):
     assert engine.summary().first()["dtype"] == "double"
     engine.destroy(a)
     assert "m" not in engine.arrays
+
+
+def padded(values: np.ndarray, w: int) -> np.ndarray:
+    return np.pad(values, w, mode="wrap")
+
+
+@pytest.mark.parametrize("starts", [None, 1000, [0, 3, 4, 9, 11]])
+def test_ghosts_of_many_blocks(engine, starts):
+    from dataclasses import replace
+
+    from gridloom.operators import halo
+    from gridloom.plans.layout import Layout
+
+    n, w = 3000 if starts == 1000 else 14, 2
+    x = engine.from_numpy(np.arange(float(n)))
+    layout = Layout.irregular([n], [starts], 5) if isinstance(starts, list) else Layout.regular([n], starts or 4)
+    a = replace(x, layout=layout, ghosts=(w,))
+    rows = sorted(map(tuple, halo.update_ghosts(a).select("b0", "i0", "v").collect()))
+    own = layout.starts[0]
+    ends = [*own[1:], n]
+    assert rows == sorted((b, p, float(p % n)) for b, (s, e) in enumerate(zip(own, ends, strict=True)) for p in range(s - w, e + w))
+    few = replace(x, layout=Layout.regular([n], 4), ghosts=(w,))
+    plan = lambda y: len(halo.update_ghosts(y)._jdf.queryExecution().optimizedPlan().toString())
+    if starts == 1000:
+        assert plan(a) < 1.1 * plan(few)
+    blocks = {r.i0: r.b for r in x.df.select("i0", layout.block_columns()[0].alias("b")).collect()}
+    assert all(own[b] <= i < ends[b] for i, b in blocks.items())
+
+
+@pytest.mark.parametrize("periodic", [True, False])
+@pytest.mark.parametrize("tile", [12, 1 << 16])
+def test_tiled_stencil(engine, monkeypatch, periodic, tile):
+    from gridloom.operators import halo
+
+    monkeypatch.setattr(halo, "TILE_CELLS", tile)
+    values = np.random.default_rng(3).integers(-9, 9, (11, 7)).astype(float)
+    weights = {(0, 0): 2.0, (1, 0): -1.0, (0, -2): 3.0, (-2, 1): 0.5, (2, 2): 1.0}
+    wide = np.pad(values, 2, mode="wrap" if periodic else "constant")
+    want = sum(w * wide[2 + i : 13 + i, 2 + j : 9 + j] for (i, j), w in weights.items())
+    assert np.allclose(halo.stencil(engine.from_numpy(values), weights, periodic).collect(), want)
+
+
+def test_frames_of_blocks_are_bounded(engine, monkeypatch):
+    from gridloom.operators import access
+
+    monkeypatch.setattr(access, "FRAME_CELLS", 10)
+
+    def fn(pdf):
+        assert len(pdf) <= 10
+        return pdf.assign(v=pdf["v"] + len(pdf) * 0)
+
+    assert np.array_equal(access.map_blocks(engine.from_numpy(np.arange(77.0)), fn).collect(), np.arange(77.0))
+
+
+def test_export_joins_sorted_parts(spark, engine, tmp_path):
+    from gridloom.operators import sparse
+
+    rows = [(i, (i * 7) % 13, float(i)) for i in range(40)]
+    s = sparse.from_frame(engine, spark.createDataFrame(rows, "i long, j long, v double").repartition(5), 40, 13, "double")
+    sparse.export(s, f"file://{tmp_path}/m")
+    parts = [p for p in (tmp_path / "m").iterdir() if p.name.startswith("part-")]
+    said = parts[0].read_text().split("\n")
+    assert len(parts) == 1 and said[0].startswith("%%Matrix") and [x.split()[:2] for x in said[2:-1]] == [[str(i + 1), str(j + 1)] for i, j, _ in rows]
+    assert sorted(map(tuple, sparse.load(engine, f"file://{tmp_path}/m").df.collect())) == rows
