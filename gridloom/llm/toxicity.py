@@ -28,7 +28,7 @@ SAMPLE_PARTS = 8
 GRAMS = (5, 7)
 BUCKET_BITS = 17
 BUCKETS = 1 << BUCKET_BITS
-FEATURES = 256
+FEATURES = 128
 #: A feature occurs in at least so many confirmed examples (and this share of them) and differs by so many deviations.
 LEAST_EXAMPLES, LEAST_SHARE, LEAST_STRENGTH = 4, 0.01, 4.0
 #: A rate above this says no more: one repeated word is no more toxic.
@@ -102,7 +102,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, epochs: int = 150, batch: int = 512, rate: float = 0.05, decay: float = 3e-3) -> tuple[np.ndarray, float]:
+def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, epochs: int = 150, batch: int = 512, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise prior * E_p[l(z)] + max(0, E_u[l(-z)] - prior * E_p[l(-z)]), l the logistic loss."""
     rng = np.random.default_rng(SEED)
     w, b = np.zeros(positive.shape[1]), float(np.log(prior / (1 - prior)))
