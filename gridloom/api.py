@@ -75,7 +75,7 @@ CREATION: dict[str, Callable] = {
     "set_restricted": Builder.set_restricted, "set_restricted_range": lambda b, lo, hi: b.set_restricted(range(lo, hi + 1)), "set_property": property_set,
     "unset_property": Array.uncached, "set_memory_dev": nothing, "set_memory_limit": lambda e, n: setattr(e, "memory_limit", n), "allocate": Builder.allocate,
     "deallocate": Array.uncached, "overlay": Engine.overlay, "duplicate": Array.like, "destroy": Engine.destroy, "register_type": Engine.register_type,
-    "deregister_type": Engine.deregister_type, "type_f2c": dtypes.as_dtype, "type_c2f": lambda d: {v: k for k, v in dtypes.ALIASES.items()}.get(dtypes.as_dtype(d).name, dtypes.as_dtype(d).name),
+    "deregister_type": Engine.deregister_type, "type_f2c": dtypes.as_dtype, "type_c2f": lambda d: {v: k for k, v in reversed(dtypes.ALIASES.items())}.get(dtypes.as_dtype(d).name, dtypes.as_dtype(d).name),
 }
 
 METADATA: dict[str, Callable] = {
@@ -160,7 +160,7 @@ EXECUTION: dict[str, Callable] = {
     "uses_ma": lambda e: False, "memory_limited": lambda e: e.memory_limited, "memory_avail": Engine.memory_available, "memory_avail_type": Engine.memory_available,
     "inquire_memory": Engine.memory_used, "malloc": lambda n: bytearray(n), "free": nothing, "set_debug": lambda e, on: setattr(e, "debug", bool(on)), "get_debug": lambda e: e.debug,
     "timer": time.perf_counter, "wtime": Engine.wall_time, "version": Engine.version, "error": Engine.error, "comp_patch": index.same_shape, "patch_intersect": index.intersect,
-    "checkpoint_arrays": Engine.checkpointed, "process_grid": layout.process_grid,
+    "checkpoint_arrays": Engine.save, "recover_arrays": Engine.recover, "trace_genrec": Engine.traced, "trace": Engine.trace, "process_grid": layout.process_grid,
 }
 
 TEXT: dict[str, Callable] = {
@@ -171,7 +171,8 @@ TEXT: dict[str, Callable] = {
 DISK: dict[str, Callable] = {
     "disk_create": disk_arrays.create, "disk_open": disk_arrays.open_array, "disk_close": disk_arrays.close, "disk_delete": disk_arrays.delete, "disk_inquire": disk_arrays.inquire,
     "disk_write": disk_arrays.write, "disk_read": disk_arrays.read, "disk_write_section": disk_arrays.write_section, "disk_read_section": disk_arrays.read_section,
-    "disk_probe": disk_arrays.probe, "disk_wait": disk_arrays.wait,
+    "disk_probe": disk_arrays.probe, "disk_wait": disk_arrays.wait, "disk_create_config": disk_arrays.create, "disk_set_default_config": disk_arrays.set_default_config,
+    "disk_set_debug": disk_arrays.set_debug, "disk_print_internals": disk_arrays.internals,
 }
 
 FILES: dict[str, Callable] = {
@@ -187,7 +188,7 @@ FILES: dict[str, Callable] = {
 BLOBS: dict[str, Callable] = {
     "blob_create": blobs.create, "blob_distribution": blobs.distribution, "blob_assign_local_element": blobs.assign, "blob_free_local_element": blobs.free, "blob_memzero": blobs.zeroed,
     "blob_get_size": blobs.get_size, "blob_get": blobs.get, "blob_put": blobs.put, "blob_gather_size": blobs.gather_size, "blob_gather": blobs.gather, "blob_scatter": blobs.scatter,
-    "blob_access_element": blobs.element, "blob_release_element": nothing, "blob_release_update_element": nothing, "blob_debug": blobs.summary, "blob_get_dimension": lambda b: b.ndim,
+    "blob_destroy": blobs.destroy, "blob_access_element": blobs.element, "blob_release_element": nothing, "blob_release_update_element": nothing, "blob_debug": blobs.summary, "blob_get_dimension": lambda b: b.ndim,
 }
 
 OPERATIONS: dict[str, Callable] = CREATION | METADATA | ACCESS | ELEMENTWISE | REDUCTIONS | SCANS | ALGEBRA | GHOSTS | SPARSE | EXECUTION | TEXT | DISK | FILES | BLOBS

@@ -85,3 +85,8 @@ def narrowed(v: Column, dtype: DType) -> Column:
 
 def nonzero(v: Column, dtype: DType) -> Column:
     return (v["re"] != 0) | (v["im"] != 0) if dtype.kind == "complex" else v != 0
+
+
+def hashed_bits(said: Column, first: int = 1, digits: int = 13) -> Column:
+    """4 * digits bits of md5 of a text: a hash that other SQL engines have too. At most 15 digits fit a long."""
+    return F.conv(F.substring(F.md5(said.cast("binary")), first, digits), 16, 10).cast("long")

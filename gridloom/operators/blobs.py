@@ -67,6 +67,11 @@ def free(b: Blobs, lo: Sequence[int], hi: Sequence[int]) -> Blobs:
     return replace(b, df=b.df.where(~inside(check_box((lo, hi), b.dims))))
 
 
+def destroy(b: Blobs) -> None:
+    """Nothing of it is kept any longer."""
+    b.df.unpersist()
+
+
 def zeroed(b: Blobs) -> Blobs:
     """All bytes of all elements 0; sizes stay."""
     return b.with_df(b.df.withColumn("data", F.unhex(F.repeat(F.lit("00"), F.length("data")))))

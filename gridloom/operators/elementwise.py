@@ -42,8 +42,10 @@ def recip(a: Array, box: Box | None = None) -> Array:
 
 
 def randomize(a: Array, most, seed: int = 0) -> Array:
+    """Uniform numbers below most, by a hash of seed and linear index: a part that is computed again gets the same ones."""
     require(a.dtype, "random")
-    return a.with_value((F.rand(seed) * F.lit(most)).cast(a.dtype.spark))
+    share = N.hashed_bits(F.concat_ws(":", F.lit(str(seed)), linear(a.dims).cast("string"))) / F.lit(float(1 << 52))
+    return a.with_value((share * F.lit(most)).cast(a.dtype.spark))
 
 
 def patch_enum(a: Array, lo: int, hi: int, start, step) -> Array:

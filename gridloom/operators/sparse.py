@@ -241,7 +241,8 @@ def count_sketch(s: Sparse, k: int, seed: int = 1, trans: bool = False) -> tuple
 
 
 def sketch_hash(i: Column, k: int, seed: int) -> tuple[Column, Column]:
-    return F.pmod(F.xxhash64(i, F.lit(seed)), F.lit(k)), F.when(F.pmod(F.xxhash64(i, F.lit(seed + 1)), F.lit(2)) == 0, 1).otherwise(-1)
+    said = F.concat_ws(":", F.lit(str(seed)), i.cast("string"))
+    return F.pmod(N.hashed_bits(said), F.lit(k)), F.when(N.hashed_bits(said, 14, 8) % 2 == 0, 1).otherwise(-1)
 
 
 def export_lines(s: Sparse) -> DataFrame:

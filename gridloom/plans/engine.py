@@ -171,6 +171,7 @@ class Engine:
     default_group: int = 0
     mutexes: list[threading.Lock] = field(default_factory=list)
     counters: dict[str, int] = field(default_factory=dict)
+    events: list[tuple] = field(default_factory=list)
     _random: random.Random = field(default_factory=lambda: random.Random(20_261_126))
 
     def __post_init__(self) -> None:
@@ -353,6 +354,14 @@ class Engine:
         for a in list(self.arrays.values()):
             self.destroy(a)
 
+    def traced(self, a: Array, lo: Sequence[int], hi: Sequence[int], operation: str, began: float, ended: float) -> None:
+        """Note an operation on a box, with the seconds at which it began and ended."""
+        self.events.append((len(self.events), a.name, operation, list(map(int, lo)), list(map(int, hi)), float(began), float(ended)))
+
+    def trace(self) -> DataFrame:
+        """What was noted, in order."""
+        return self.spark.createDataFrame(self.events, "event long, array string, operation string, lo array<long>, hi array<long>, began double, ended double")
+
     def summary(self) -> DataFrame:
         rows = [(a.name, a.dtype.name, list(a.dims), a.layout.kind) for a in self.arrays.values()]
         return self.spark.createDataFrame(rows, "name string, dtype string, dims array<long>, layout string")

@@ -181,7 +181,7 @@ def copy_patch(t: Tables) -> DataFrame:
     return ew.copy_patch(e, ([0, 0], [15, 31]), e, ([32, 32], [47, 63]), trans=True).df
 
 
-@query()
+@query("SELECT c_custkey AS i0, CAST('0x' || substr(md5('5:' || c_custkey), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) * 10 AS v FROM customer")
 def randomize(t: Tables) -> DataFrame:
     return ew.randomize(t.balances(), 10.0, seed=5).df
 
@@ -237,11 +237,10 @@ def dot(t: Tables) -> DataFrame:
     return reduce.dot_frame(a, b)
 
 
-@query(f"SELECT round(sum(a.v * b.v), 4) AS dot FROM {E} a JOIN {E} b ON a.i0 = b.i1 AND a.i1 = b.i0 WHERE a.i0 < 64 AND b.i0 < 64")
+@query(f"SELECT sum(v * v) AS dot FROM {W} WHERE i0 BETWEEN {NV} // 4 AND 3 * {NV} // 4 AND i1 BETWEEN 16 AND 48")
 def dot_patch(t: Tables) -> DataFrame:
-    e = t.embeddings()
-    box = ([0, 0], [63, 63])
-    return reduce.dot_frame(e, e, (box, box), (False, True)).withColumn("dot", F.round("dot", 4))
+    w = t.scores()
+    return reduce.dot_frame(w, ew.copy(w), (half(w), half(w)))
 
 
 for _op, _order in (("min", "ASC"), ("max", "DESC")):
@@ -482,31 +481,39 @@ def transpose(t: Tables) -> DataFrame:
     return dense.transpose(t.embeddings()).df
 
 
-def square(t: Tables) -> Array:
-    return t.engine.from_df(access.get(t.scores(), [0, 0], [63, 63]), (64, 64), "double")
-
-
-def column(t: Tables, a: Array) -> Array:
-    return t.engine.from_df(a.df.where("i1 = 3").select("i0", "v"), (64,), "double")
+def gram(t: Tables) -> Array:
+    """W^T W: a square matrix that all vectors enter."""
+    w = t.scores()
+    return dense.matmul(w, w, trans=(True, False))
 
 
-SQ = f"(SELECT * FROM {W} WHERE i0 < 64)"
-COL = f"(SELECT i0 AS k, v AS w FROM {W} WHERE i0 < 64 AND i1 = 3)"
+SQ = f"({GRAM})"
+COL = f"(SELECT i1 AS k, v AS w FROM {SQ} WHERE i0 = 3)"
 for _name, _fn, _sql in (
-    ("symmetrize", lambda a, v: dense.symmetrize(a), f"SELECT a.i0, a.i1, (a.v + b.v) / 2 AS v FROM {SQ} a JOIN {SQ} b ON a.i0 = b.i1 AND a.i1 = b.i0"),
+    ("symmetrize", lambda a, v: dense.symmetrize(dense.scale_rows(a, v)), f"SELECT a.i0, a.i1, (a.v * x.w + a.v * y.w) / 2 AS v FROM {SQ} a JOIN {COL} x ON x.k = a.i0 JOIN {COL} y ON y.k = a.i1"),
     ("get_diag", lambda a, v: dense.get_diag(a), f"SELECT i0, v FROM {SQ} WHERE i0 = i1"),
     ("set_diagonal", dense.set_diagonal, f"SELECT i0, i1, CASE WHEN i0 = i1 THEN w ELSE v END AS v FROM {SQ} JOIN {COL} ON k = i0"),
     ("add_diagonal", dense.add_diagonal, f"SELECT i0, i1, CASE WHEN i0 = i1 THEN v + w ELSE v END AS v FROM {SQ} JOIN {COL} ON k = i0"),
     ("shift_diagonal", lambda a, v: dense.shift_diagonal(a, 2.5), f"SELECT i0, i1, CASE WHEN i0 = i1 THEN v + 2.5 ELSE v END AS v FROM {SQ}"),
     ("zero_diagonal", lambda a, v: dense.zero_diagonal(a), f"SELECT i0, i1, CASE WHEN i0 = i1 THEN 0 ELSE v END AS v FROM {SQ}"),
-    ("scale_rows", dense.scale_rows, f"SELECT i0, i1, v * w AS v FROM {SQ} JOIN {COL} ON k = i0"),
-    ("scale_cols", dense.scale_cols, f"SELECT i0, i1, v * w AS v FROM {SQ} JOIN {COL} ON k = i1"),
 ):
 
     @query(_sql, _name)
     def _diagonal(t: Tables, fn=_fn) -> DataFrame:
-        a = square(t)
-        return fn(a, column(t, a)).df
+        a = gram(t)
+        return fn(a, t.engine.from_df(a.df.where("i0 = 3").select(F.col("i1").alias("i0"), "v"), (64,), "double")).df
+
+
+@query(f"SELECT i0, i1, v * (i0 % 7 - 3) AS v FROM {W}")
+def scale_rows(t: Tables) -> DataFrame:
+    w = t.scores()
+    return dense.scale_rows(w, t.engine.from_df(t.table("embeddings").withColumn("x", F.col("vec_id") % 7 - 3), (w.dims[0],), "double", index=["vec_id"], value="x")).df
+
+
+@query(f"SELECT i0, i1, v * w AS v FROM {W} JOIN {COL} ON k = i1")
+def scale_cols(t: Tables) -> DataFrame:
+    w, g = t.scores(), gram(t)
+    return dense.scale_cols(w, t.engine.from_df(g.df.where("i0 = 3").select(F.col("i1").alias("i0"), "v"), (64,), "double")).df
 
 
 def gram_plus(t: Tables) -> Array:
@@ -515,26 +522,37 @@ def gram_plus(t: Tables) -> Array:
     return dense.shift_diagonal(dense.matmul(w, w, trans=(True, False)), 1.0)
 
 
-# solvers give the all-ones vector: the right side is the matrix' row sums
-@query("SELECT range AS i0, CAST(1 AS DOUBLE) AS v FROM range(64)")
-def lu_solve(t: Tables) -> DataFrame:
-    a = gram_plus(t)
-    b = t.engine.from_df(a.df.groupBy("i0").agg(F.sum("v").alias("v")), (64,), "double")
-    return dense.lu_solve(a, b).df.withColumn("v", F.round("v", 6))
+#: Four right sides' solutions: sums of the vectors' components by vec_id mod 4.
+SOLUTION = f"SELECT i1 AS i0, i0 % 4 AS i1, sum(v) AS v FROM {W} GROUP BY 1, 2"
 
 
-@query("SELECT range AS i0, CAST(1 AS DOUBLE) AS v FROM range(64)")
-def llt_solve(t: Tables) -> DataFrame:
-    a = gram_plus(t)
-    b = t.engine.from_df(a.df.groupBy("i0").agg(F.sum("v").alias("v")), (64,), "double")
-    return dense.solve(a, b).df.withColumn("v", F.round("v", 6))
+def solution(t: Tables) -> Array:
+    cells_ = t.scores().df.groupBy(F.col("i1").alias("a"), (F.col("i0") % 4).alias("b")).agg(F.sum("v").alias("v"))
+    return t.engine.from_df(cells_, (64, 4), "double", index=["a", "b"])
+
+
+def solver(name: str, fn, matrix=gram_plus) -> None:
+    """A solver gives back the solution from which its right side was made."""
+
+    @query(SOLUTION, name)
+    def run(t: Tables) -> DataFrame:
+        a = matrix(t)
+        return fn(a, dense.matmul(a, solution(t))).df.withColumn("v", F.round("v", 3) + F.lit(0.0))
 
 
-@query("SELECT a.range AS i0, b.range AS i1, CASE WHEN a.range = b.range THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM range(64) a, range(64) b")
-def spd_invert(t: Tables) -> DataFrame:
+def lopsided(t: Tables) -> Array:
+    """No symmetric matrix: the Gram matrix with a scaled row for each column."""
     a = gram_plus(t)
-    back = dense.matmul(a, dense.spd_invert(a)).df
-    return back.withColumn("v", F.round("v", 6) + F.lit(0.0))
+    return a.with_df(a.df.withColumn("v", F.col("v") * (F.col("i0") % 5 + 1)))
+
+
+solver("lu_solve", dense.lu_solve, lopsided)
+solver("lu_solve_alt", dense.lu_solve_alt, lopsided)
+solver("lu_solve_seq", dense.lu_solve_seq, lopsided)
+solver("lu_solve_transposed", lambda a, b: dense.lu_solve(dense.transpose(a), b, trans=True), lopsided)
+solver("llt_solve", dense.llt_solve)
+solver("solve", dense.solve)
+solver("spd_invert", lambda a, b: dense.matmul(dense.spd_invert(a), b))
 
 
 @query(f"SELECT round(sum(v), 2) AS trace FROM ({GRAM}) WHERE i0 = i1")
@@ -567,10 +585,10 @@ def sparse_assemble(t: Tables) -> DataFrame:
     return sparse.assemble(t.supply()).df
 
 
-@query(f"SELECT i0 AS i, i1 AS j, v FROM {SQ} WHERE (v > 0 OR i0 = i1)")
+@query(f"SELECT i0 AS i, i1 AS j, greatest(v, 0) AS v FROM {W} WHERE v > 0 OR i0 = i1")
 def sparse_from_dense(t: Tables) -> DataFrame:
-    a = square(t)
-    return sparse.from_dense(a.with_df(a.df.withColumn("v", F.when(F.col("v") > 0, F.col("v")).otherwise(F.when(F.col("i0") == F.col("i1"), F.col("v")).otherwise(0.0))))).df
+    w = t.scores()
+    return sparse.from_dense(w.with_df(w.df.withColumn("v", F.greatest("v", F.lit(0.0))))).df
 
 
 @query(f"SELECT a.range AS i0, b.range AS i1, coalesce(v, 0) AS v FROM range({PARTS}) a CROSS JOIN range({SUPPLIERS}) b LEFT JOIN {S} ON i = a.range AND j = b.range")
@@ -651,7 +669,10 @@ def sparse_export(t: Tables) -> DataFrame:
     return sparse.export_lines(t.supply()).select("value")
 
 
-@query()
+@query(f"""WITH h AS (SELECT range AS i, md5('1:' || range) AS h FROM range({PARTS})),
+r AS (SELECT i, CAST('0x' || substr(h, 1, 13) AS BIGINT) % 16 AS label, CASE WHEN CAST('0x' || substr(h, 14, 8) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END AS sign FROM h)
+SELECT a.range AS i0, b.range AS i1, coalesce(x.v, 0) AS v FROM range(16) a CROSS JOIN range({SUPPLIERS}) b
+LEFT JOIN (SELECT label, j, sum(v * sign) AS v FROM {S} JOIN r USING (i) GROUP BY 1, 2) x ON x.label = a.range AND x.j = b.range""")
 def count_sketch(t: Tables) -> DataFrame:
     return sparse.count_sketch(t.supply(), 16)[0].df
 
@@ -700,14 +721,17 @@ def disk_array(t: Tables) -> DataFrame:
 
 
 # applications
-@query(f"SELECT range AS i0, CAST(1 AS DOUBLE) AS v FROM range({SUPPLIERS})")
+@query("SELECT s_suppkey AS i0, CAST(s_nationkey + 1 AS DOUBLE) AS v FROM supplier")
 def conjugate_gradient(t: Tables) -> DataFrame:
-    """(S^T S / 1000 + 100 I) x = b with the all-ones solution."""
+    """(S^T S / 1000 + 100 I) x = b, whose right side was made from the suppliers' nations."""
     s = t.supply()
     a = sparse.matmat_multiply(s.transposed(), sparse.scale(s, 1e-3))
     eye = t.spark.range(a.dims[0]).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(100.0).alias("v"))
     from gridloom.plans.lineage import cut
 
     a = a.with_df(cut(sparse.add_elements(a, eye).df, "matrix"))
-    b = t.engine.from_df(a.df.groupBy(F.col("i").alias("i0")).agg(F.sum("v").alias("v")), (a.dims[0],), "double")
-    return iterative.conjugate_gradient(a, b, 1e-10).x.df.withColumn("v", F.round("v", 5))
+    b = sparse.matvec_multiply(a, supplier_vector(t, a.dims[0]))
+    return iterative.conjugate_gradient(a, b, 1e-12).x.df.withColumn("v", F.round("v", 4))
+
+
+from gridloom import catalog_queries  # noqa: E402, F401  they register themselves as the ones above do

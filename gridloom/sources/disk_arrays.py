@@ -21,6 +21,9 @@ from gridloom.plans.lineage import cut
 from gridloom.sources import storage
 
 BLOCK_CELLS = 1 << 20
+#: Files that a write makes at most for each block's folder set (None: one for each block), and whether writes and reads
+#: are reported; set_default_config and set_debug change them.
+DEFAULTS: dict = {"files": None, "debug": False}
 
 
 @dataclass(frozen=True)
@@ -31,6 +34,7 @@ class DiskArray:
     dims: tuple[int, ...]
     dtype: DType
     chunk: tuple[int, ...]
+    files: int | None = None
 
     @property
     def data(self) -> str:
@@ -53,20 +57,47 @@ def typical_chunk(dims: Sequence[int], request: Sequence[int] | None) -> tuple[i
     return tuple(chunk)
 
 
-def create(engine: Engine, path: str, dims: Sequence[int], dtype: str | DType, name: str = "", request: Sequence[int] | None = None) -> DiskArray:
-    """An array of zeros that takes no room until it is written."""
+def create(engine: Engine, path: str, dims: Sequence[int], dtype: str | DType, name: str = "", request: Sequence[int] | None = None, files: int | None = None) -> DiskArray:
+    """An array of zeros that takes no room until it is written. files: the number of tasks, and so of files at once, that
+    a write of the whole array is dealt to; by default each block has its own."""
     d = as_dtype(dtype)
-    out = DiskArray(engine, path.rstrip("/"), name, tuple(dims), d, typical_chunk(dims, request))
-    storage.write_json(engine.spark, f"{out.path}/array.json", {"name": name, "dims": list(dims), "dtype": d.name, "chunk": list(out.chunk)})
+    files = DEFAULTS["files"] if files is None else files
+    if files is not None and files < 1:
+        raise ValueError(f"{files} files")
+    out = DiskArray(engine, path.rstrip("/"), name, tuple(dims), d, typical_chunk(dims, request), files)
+    storage.write_json(engine.spark, f"{out.path}/array.json", {"name": name, "dims": list(dims), "dtype": d.name, "chunk": list(out.chunk), "files": files})
     return out
 
 
+def set_default_config(files: int | None) -> None:
+    """What create takes where it is told nothing."""
+    DEFAULTS["files"] = files
+
+
+def set_debug(on: bool) -> None:
+    DEFAULTS["debug"] = bool(on)
+
+
+def internals(d: DiskArray) -> dict:
+    """The description, and what is stored: blocks, files and bytes."""
+    spark = d.engine.spark
+    there = storage.exists(spark, d.data)
+    blocks = stored(d).select(*(f"b{k}" for k in range(len(d.dims)))).distinct().count() if there else 0
+    files = stored(d).select(F.input_file_name()).distinct().count() if there else 0
+    return inquire(d) | {"chunk": d.chunk, "files": d.files, "blocks": blocks, "stored_files": files, "bytes": storage.length(spark, d.path)}
+
+
+def told(d: DiskArray, what: str) -> None:
+    if DEFAULTS["debug"]:
+        print(f"disk array {d.name or d.path}: {what}")
+
+
 def open_array(engine: Engine, path: str) -> DiskArray:
     path = path.rstrip("/")
     if not storage.exists(engine.spark, f"{path}/array.json"):
         raise ValueError(f"no array at {path}")
     said = storage.read_json(engine.spark, f"{path}/array.json")
-    return DiskArray(engine, path, said["name"], tuple(said["dims"]), as_dtype(said["dtype"]), tuple(said["chunk"]))
+    return DiskArray(engine, path, said["name"], tuple(said["dims"]), as_dtype(said["dtype"]), tuple(said["chunk"]), said.get("files"))
 
 
 def inquire(d: DiskArray) -> dict:
@@ -93,7 +124,7 @@ def stored(d: DiskArray, box: Box | None = None) -> DataFrame:
 def dealt(d: DiskArray, cells: DataFrame) -> DataFrame:
     at = d.block_columns()
     keys = [f"b{k}" for k in range(len(d.dims))]
-    return cells.select(*names(len(d.dims)), "v", *at).repartition(*keys).sortWithinPartitions(*keys, *names(len(d.dims)))
+    return cells.select(*names(len(d.dims)), "v", *at).repartition(*([d.files] if d.files else []), *keys).sortWithinPartitions(*keys, *names(len(d.dims)))
 
 
 def write(a: Array, d: DiskArray) -> DiskArray:
@@ -101,6 +132,7 @@ def write(a: Array, d: DiskArray) -> DiskArray:
     check_same(a, d)
     if a.dims != d.dims:
         raise ValueError(f"dimensions {a.dims} and {d.dims}")
+    told(d, "write")
     dealt(d, a.df).write.mode("overwrite").partitionBy(*(f"b{k}" for k in range(a.ndim))).parquet(d.data)
     return d
 
