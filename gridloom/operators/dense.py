@@ -2,7 +2,8 @@
 
 A product C = alpha * op(A) op(B) + beta * C is cut into tiles of C and chunks of the inner dimension: a group holds one
 strip of A and one of B of bounded size, whatever the matrices' sizes, and partial tiles are summed map-side before the
-shuffle. Solvers and eigenvectors are inherently global; they run in one group and refuse more than MOST_GLOBAL rows.
+shuffle. Systems of up to MOST_GLOBAL rows are solved in one group, larger ones by column panels (factor.py);
+eigenvectors run in one group and refuse more than MOST_GLOBAL rows.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import numbers as N
 from gridloom.functions.dtypes import require
 from gridloom.functions.index import Box, check_box, full, shape_of
+from gridloom.operators import factor
 from gridloom.operators.elementwise import placed, upsert
 from gridloom.plans.engine import Array
 
@@ -222,7 +224,7 @@ def tagged(arrays: list[Array]) -> DataFrame:
     out = None
     for k, a in enumerate(arrays):
         if max(a.dims) > MOST_GLOBAL:
-            raise ValueError(f"at most {MOST_GLOBAL} rows: use an iterative solver")
+            raise ValueError(f"at most {MOST_GLOBAL} rows")
         j = F.col("i1") if a.ndim == 2 else F.lit(0).cast("long")
         re, im = (F.col("v")["re"], F.col("v")["im"]) if a.dtype.kind == "complex" else (F.col("v"), F.lit(0.0))
         one = a.df.select(F.lit(0).alias("all"), F.lit(k).alias("which"), F.col("i0").alias("i"), j.alias("j"), re.cast("double").alias("re"), im.cast("double").alias("im"))
@@ -264,7 +266,8 @@ def result(out: DataFrame, which: int, dims: tuple[int, ...], like: Array) -> Ar
 
 def lu_solve(a: Array, b: Array, trans: bool = False) -> Array:
     require(a.dtype, "solve")
-    check_square(a)
+    if check_square(a) > MOST_GLOBAL:
+        return factor.solved(a, b, True, trans)
     return result(in_one_group([a, b], lambda x, y: [np.linalg.solve(x.T if trans else x, y)]), 0, b.dims, b)
 
 
@@ -278,18 +281,21 @@ def _llt(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def cholesky(a: Array) -> Array:
     """The lower factor."""
-    check_square(a)
+    if check_square(a) > MOST_GLOBAL:
+        return factor.cholesky(a)
     return result(in_one_group([a], lambda x: [np.linalg.cholesky(x)]), 0, a.dims, a)
 
 
 def llt_solve(a: Array, b: Array) -> Array:
-    check_square(a)
+    if check_square(a) > MOST_GLOBAL:
+        return factor.solved(a, b, False)
     return result(in_one_group([a, b], lambda x, y: [_llt(x, y)]), 0, b.dims, b)
 
 
 def solve(a: Array, b: Array) -> Array:
-    """Cholesky, and LU where the matrix isn't symmetric and positive."""
-    check_square(a)
+    """Cholesky, and LU where the matrix isn't symmetric and positive; LU alone for a matrix that no group holds."""
+    if check_square(a) > MOST_GLOBAL:
+        return factor.solved(a, b, True)
 
     def run(x, y):
         if np.array_equal(x, x.T):
@@ -304,6 +310,8 @@ def solve(a: Array, b: Array) -> Array:
 
 def spd_invert(a: Array) -> Array:
     n = check_square(a)
+    if n > MOST_GLOBAL:
+        return factor.inverse(a)
     return result(in_one_group([a], lambda x: [_llt(x, np.eye(n))]), 0, a.dims, a)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators import access, blobs, dense, halo, iterative, reduce, scans, sparse
+from gridloom.operators import access, blobs, dense, factor, halo, iterative, reduce, scans, sparse
 from gridloom.operators import elementwise as ew
 from gridloom.plans.engine import Array, Engine
 from gridloom.plans.lineage import shared_dir
@@ -550,7 +550,9 @@ solver("lu_solve", dense.lu_solve, lopsided)
 solver("lu_solve_alt", dense.lu_solve_alt, lopsided)
 solver("lu_solve_seq", dense.lu_solve_seq, lopsided)
 solver("lu_solve_transposed", lambda a, b: dense.lu_solve(dense.transpose(a), b, trans=True), lopsided)
+solver("lu_solve_panels", lambda a, b: factor.solved(a, b, True, width=24), lopsided)
 solver("llt_solve", dense.llt_solve)
+solver("llt_solve_panels", lambda a, b: factor.solved(a, b, False, width=24))
 solver("solve", dense.solve)
 solver("spd_invert", lambda a, b: dense.matmul(dense.spd_invert(a), b))
 

@@ -511,3 +511,25 @@ def test_export_joins_sorted_parts(spark, engine, tmp_path):
     said = parts[0].read_text().split("\n")
     assert len(parts) == 1 and said[0].startswith("%%Matrix") and [x.split()[:2] for x in said[2:-1]] == [[str(i + 1), str(j + 1)] for i, j, _ in rows]
     assert sorted(map(tuple, sparse.load(engine, f"file://{tmp_path}/m").df.collect())) == rows
+
+
+@pytest.mark.parametrize("kind", [float, complex])
+def test_systems_by_panels(engine, monkeypatch, kind):
+    from gridloom.operators import dense, factor
+
+    n = 61
+    monkeypatch.setattr(dense, "MOST_GLOBAL", 40)
+    monkeypatch.setattr(factor, "PANEL_BYTES", 17 * n * np.dtype(kind).itemsize)
+    rng = np.random.default_rng(4)
+    draw = lambda *shape: rng.normal(size=shape) + (1j * rng.normal(size=shape) if kind is complex else 0)
+    a, b = draw(n, n), draw(n, 20)
+    spd = a @ a.conj().T + n * np.eye(n)
+    arrays = [engine.from_numpy(x) for x in (a, b, spd, b[:, 0])]
+    assert np.allclose(factor.solved(arrays[0], arrays[1], True).collect(), np.linalg.solve(a, b))
+    assert np.allclose(dense.llt_solve(arrays[2], arrays[3]).collect(), np.linalg.solve(spd, b[:, 0]))
+    assert np.allclose(dense.cholesky(arrays[2]).collect(), np.linalg.cholesky(spd))
+    if kind is float:
+        assert np.allclose(dense.lu_solve(arrays[0], arrays[1], trans=True).collect(), np.linalg.solve(a.T, b))
+        assert np.allclose(dense.spd_invert(arrays[2]).collect(), np.linalg.inv(spd))
+        with pytest.raises(Exception, match="singular"):
+            dense.solve(engine.from_numpy(np.zeros((n, n))), arrays[1]).collect()
