@@ -137,19 +137,20 @@ def best_limit(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(limits[int(np.argmax(worth))])
 
 
-def sampled(docs: DataFrame, most: int) -> DataFrame:
-    """Ids of at most so many documents, the first by hash.
+def sampled(docs: DataFrame, n: int, most: int) -> DataFrame:
+    """Ids of at most so many of the n documents, the first by hash.
 
     A threshold from the number of rows keeps back all but about twice as many before any row moves; where ids repeat so
     often that too few are left, it is raised."""
     hashed = docs.select("doc_id").withColumn("_tox_h", F.xxhash64("doc_id", F.lit(SEED)))
-    n, passing = hashed.count(), 2.0 * most + 100
-    while True:
-        least = hashed.where((F.col("_tox_h") / F.lit(float(1 << 63)) + 1) / 2 * n <= passing) if passing < n else hashed
-        ids = written(least.distinct().orderBy("_tox_h", "doc_id").limit(most).select("doc_id"), "toxicity-ids")
-        if passing >= n or ids.count() >= most:
+    first = lambda rows: rows.distinct().orderBy("_tox_h", "doc_id").limit(most).select("doc_id")
+    passing = 2.0 * most + 100
+    while passing < n:
+        ids = written(first(hashed.where((F.col("_tox_h") / F.lit(float(1 << 63)) + 1) / 2 * n <= passing)), "toxicity-ids")
+        if ids.count() >= most:
             return ids
         passing *= 16
+    return first(hashed)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -161,8 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if not n_toxic:
         return nothing
     prior = float(min(0.5, max(0.001, n_toxic / n)))
-    toxic = sampled(known.where("toxic = 1"), MOST_POSITIVE).select(F.col("doc_id").alias("_tox_id"), F.lit(1).alias("_tox_p"))
-    other = sampled(open_docs, MOST_UNLABELLED).select(F.col("doc_id").alias("_tox_id"), F.lit(0).alias("_tox_p"))
+    toxic = sampled(known.where("toxic = 1"), n_toxic, MOST_POSITIVE).select(F.col("doc_id").alias("_tox_id"), F.lit(1).alias("_tox_p"))
+    other = sampled(open_docs, open_docs.count(), MOST_UNLABELLED).select(F.col("doc_id").alias("_tox_id"), F.lit(0).alias("_tox_p"))
     chosen = toxic.unionAll(other).groupBy("_tox_id").agg(F.max("_tox_p").alias("_tox_p"), (F.min("_tox_p") == 0).alias("_tox_u"))
     # at most MOST_POSITIVE + MOST_UNLABELLED short rows
     texts = open_docs.select("doc_id", as_bytes()).join(F.broadcast(chosen), F.col("doc_id") == F.col("_tox_id"))

@@ -81,4 +81,4 @@ def test_the_sample_is_the_first_by_hash(spark, monkeypatch):
     for ids in (list(range(5000)), list(range(30)), [7] * 4000 + list(range(60)), []):
         docs = spark.createDataFrame([(k,) for k in ids], "doc_id long").repartition(3)
         hashed = sorted((r.h, r.doc_id) for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(T.SEED)).alias("h")).distinct().collect())
-        assert sorted(r.doc_id for r in T.sampled(docs, 50).collect()) == sorted(k for _, k in hashed[:50])
+        assert sorted(r.doc_id for r in T.sampled(docs, len(ids), 50).collect()) == sorted(k for _, k in hashed[:50])
