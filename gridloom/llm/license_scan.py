@@ -2,8 +2,8 @@
 
 A text is cut into sentences, these are normalised and mapped to identifiers of known licence sentences; the document's
 sequence of identifiers is then matched against ordered licence rules, the most specific first. A rule takes the
-identifiers that it matches, so that a general rule doesn't see them again. Every sentence of every text is looked up: no
-filter goes before.
+identifiers that it matches, so that a general rule doesn't see them again. Every sentence of every text is looked up, by
+its first word, which is read off the patterns; no filter goes before.
 
 Defined results: a null or empty text has no identifiers and no licences; a licence that occurs again is listed once, in
 the order of first occurrence; identifiers that no rule takes are listed as unmatched; repeated rows give repeated
@@ -100,6 +100,34 @@ def over_lines(pattern: str) -> re.Pattern:
     return re.compile(rf"{pattern}$", re.M)
 
 
+def beginnings(parsed) -> set[str]:
+    """The first words of all texts that a parsed pattern fits, each up to its first blank, that included; a text that may
+    go on after the pattern has none."""
+    found = {""}
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            parts = {chr(arg)}
+        elif kind == "BRANCH":
+            parts = set().union(*map(beginnings, arg[1]))
+        elif kind == "SUBPATTERN":
+            parts = beginnings(arg[3])
+        elif kind == "MAX_REPEAT" and (arg[1] == 1 or all(" " in x for x in beginnings(arg[2]))):
+            parts = beginnings(arg[2]) | ({""} if not arg[0] else set())
+        else:
+            return {x if " " in x else x + "*" for x in found}  # any character or number: the word is open from here
+        found = {x if x[-1:] in (" ", "*") else (x + y).split(" ")[0] + (" " if " " in x + y else "") for x in found for y in parts}
+        if all(x[-1:] in (" ", "*") for x in found):
+            break
+    return found
+
+
+#: The words with which a known sentence can start; `*`: any start, with the words that such a sentence holds at least.
+FIRST: set[str] = set()
+ANYWHERE = re.compile(r"cc0|creative[ \n]commons[ \n]zero|eclipse[ \n]public[ \n]license")
+for _, _pattern in SENTENCES:
+    if not _pattern.startswith("(?:.* )?"):
+        FIRST |= {x.strip() for x in beginnings(re._parser.parse(_pattern))}
 _COMPILED = {name: over_lines(pattern) for name, pattern in SENTENCES}
 #: All patterns at once: a match's last group is the sentence that fits, as an outer group closes last.
 _ANY = re.compile("|".join(f"(?P<{name}>{pattern.pattern})" for name, pattern in _COMPILED.items()), re.M)
@@ -157,28 +185,40 @@ def forms(rule: tuple[str, ...]) -> list[tuple[str, ...]]:
 
 
 RULES = [(licence, form) for licence, rule in ORDERED for form in forms(rule)]
-_END = re.compile(r"(?<!\b[vV])\.(?=\s|$)|[;!?](?=\s|$)|\n\s*\n")
+_END = re.compile(rb"[.;!?\n](?:(?<=[.;!?])(?<!\b[vV]\.)(?=\s|$)|(?<=\n)[^\S\n]*\n)")
 #: Where a sentence may end, or a known one go on: a title has no full stop, and a wrapped text goes on in capitals.
-_LINE = re.compile(r"(?<![,\w-])\n|\n(?=[A-Z0-9*#/;%<!: -]*[A-Z])")
+_LINE = re.compile(rb"(?<![,\w-])\n|\n(?=[A-Z0-9*#/;%<!: -]*[A-Z])")
 #: A tag line is a sentence of its own, and what it says is kept as it is written.
-_TAG = re.compile(r"SPDX-License-Identifier:[^\S\n]*([A-Za-z0-9.+():-]+(?: (?:AND|OR|WITH) [A-Za-z0-9.+():-]+)*)[^\n]*", re.I)
-_OTHER = re.compile(r"[^a-z0-9]+")
-_DOTS = re.compile(r"(?<=\d)\.(?=\d)")
+_TAG = re.compile(rb"SPDX-License-Identifier:[^\S\n]*([A-Za-z0-9.+():-]+(?: (?:AND|OR|WITH) [A-Za-z0-9.+():-]+)*)[^\n]*", re.I)
+#: Letters in lower case and digits; all other bytes are blanks.
+_PLAIN = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _SHORT = {"attribution": "by", "noncommercial": "nc", "sharealike": "sa", "noderivatives": "nd"}
 
 
-def sentences(text: str) -> list[str]:
-    """Normalised sentences: lower case, letters and digits, single blanks, and a line end wherever the sentence may end
-    before its full stop. A full stop within a number ends none."""
-    parts = ("\n".join(x for line in _LINE.split(p) if (x := _OTHER.sub(" ", line.lower()).strip())) for p in _END.split(text))
-    return [p for p in parts if p]
+def plain(line: bytes) -> str:
+    return b" ".join(line.translate(_PLAIN).split()).decode()
+
+
+def sentences(text: bytes) -> list[str]:
+    """Normalised sentences: ASCII letters in lower case and digits, single blanks, and a line end wherever the sentence may
+    end before its full stop. A full stop within a number, or after the v of a version, ends none."""
+    out = []
+    for part in _END.split(text):
+        said = "\n".join(x for line in _LINE.split(part) if (x := plain(line))) if b"\n" in part else plain(part)
+        if said:
+            out.append(said)
+    return out
 
 
 def identify(sentence: str) -> list[tuple[str, str]]:
     """(identifier, what it says of the version or kind) of the known sentences that whole lines of a normalised one hold."""
-    found, at = [], 0
+    found, at, anywhere = [], 0, ANYWHERE.search(sentence)
     while at < len(sentence):
         end = sentence.find("\n", at)
+        blank = sentence.find(" ", at, end) if 0 <= end else sentence.find(" ", at)
+        if not anywhere and sentence[at : blank if 0 <= blank else end if 0 <= end else None] not in FIRST:  # no pattern starts so
+            at = end + 1 if 0 <= end else len(sentence)
+            continue
         if known := _ANY.match(sentence, at):
             name = known.lastgroup
             said = [g.replace("\n", " ") for g in _COMPILED[name].match(sentence, at).groups() if g]
@@ -190,13 +230,13 @@ def identify(sentence: str) -> list[tuple[str, str]]:
     return found
 
 
-def identified(text: str) -> list[tuple[str, str]]:
+def identified(text: bytes) -> list[tuple[str, str]]:
     """The identifiers of a text's known sentences, in order."""
     found, at = [], 0
     for tag in [*_TAG.finditer(text), None]:
         found += [x for s in sentences(text[at : tag.start() if tag else len(text)]) for x in identify(s)]
         if tag:
-            found.append(("Spdx", tag[1]))
+            found.append(("Spdx", tag[1].decode()))
             at = tag.end()
     return found
 
@@ -233,7 +273,7 @@ def licences(found: list[tuple[str, str]]) -> tuple[list[str], list[str]]:
 
 def scan_text(text: bytes) -> tuple[int, str, str, str]:
     """The columns of SCHEMA after doc_id."""
-    found = identified(text.decode("utf-8", "replace"))
+    found = identified(text)
     known, rest = licences(found)
     return len(found), ",".join(n for n, _ in found), ",".join(known), ",".join(rest)
 

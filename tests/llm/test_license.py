@@ -273,9 +273,29 @@ def test_rules_agree_with_brute_force_over_sequences_of_sentences():
             names += rng.choice(L.RULES)[1] if rng.random() < 0.6 else [rng.choice(list(said))]
         names = [n for n in names if n != "Spdx" and n != "CcTitle"]
         text = " ".join(f"{said[n].capitalize()}." + (" Nothing known is said here." if rng.random() < 0.3 else "") for n in names)
-        found = L.identified(text)
+        found = L.identified(text.encode())
         assert [n for n, _ in found] == names
         known, rest = L.licences([(n, "") for n in names])
         assert (known, rest) == brute(names)
         found_any += bool(known)
     assert found_any > 200
+
+
+def test_first_words_are_those_of_every_text_that_fits():
+    for name, pattern in L.SENTENCES:
+        for text in least(re._parser.parse(pattern.replace(" .* ", " x "))) + every(re._parser.parse(pattern.replace(" .* ", " x "))):
+            assert L.ANYWHERE.search(text) or text.split(" ")[0] in L.FIRST, (name, text)
+    assert not any("*" in x or not x for x in L.FIRST)
+
+
+def every(parsed):
+    """Texts of a parsed pattern with all its optional parts, one for each choice."""
+    parts = []
+    for op, arg in parsed:
+        name = str(op)
+        if name == "MAX_REPEAT":
+            parts.append([] if str(arg[2][0][0]) == "ANY" else every(arg[2]))
+            parts[-1] = parts[-1] or [""]
+        else:
+            parts.append(every(arg[3]) if name == "SUBPATTERN" else [x for one in arg[1] for x in every(one)] if name == "BRANCH" else least([(op, arg)]))
+    return ["".join(x) for x in itertools.product(*parts)]
