@@ -22,6 +22,8 @@ WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 #: Documents that share a bucket of the key's range, on average; the number of buckets follows the table's size.
 BUCKET_ROWS = 20_000
+#: Buckets whose sums one task of the prefix sum's first level takes.
+RUN_BUCKETS = 4096
 SEED = 20_240_229
 KEY_BITS = 60
 
@@ -69,6 +71,16 @@ def random_key():
     return F.conv(F.substring(F.md5(said.cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
+def started(sums: DataFrame) -> DataFrame:
+    """_mix_start: what the buckets of a group before a bucket hold. In two levels: over runs of RUN_BUCKETS, and within one."""
+    ahead = lambda w: F.coalesce(F.sum("_mix_sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("_mix_run", F.floor(F.col("_mix_bucket") / RUN_BUCKETS))
+    runs = sums.groupBy("_mix_group", "_mix_run").agg(F.sum("_mix_sum").alias("_mix_sum"))
+    runs = runs.select("_mix_group", "_mix_run", ahead(Window.partitionBy("_mix_group").orderBy("_mix_run")).alias("_mix_above"))
+    within = sums.withColumn("_mix_below", ahead(Window.partitionBy("_mix_group", "_mix_run").orderBy("_mix_bucket")))
+    return within.join(runs, ["_mix_group", "_mix_run"]).select("_mix_group", "_mix_bucket", (F.col("_mix_above") + F.col("_mix_below")).alias("_mix_start"))
+
+
 def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """rows (as sized() gives them) with _mix_total (the source's), _mix_target, _mix_taken, _mix_epochs and _mix_part."""
     slim = rows.groupBy("source").agg(F.sum("_mix_size").alias("_mix_total"), F.count(F.lit(1)).alias("_mix_n"))
@@ -80,8 +92,7 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     group = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source"))  # a join key without nulls
     keyed = rows.withColumn("_mix_key", random_key()).withColumn("_mix_group", group).withColumn("_mix_bucket", F.floor(F.col("_mix_key") / float(1 << KEY_BITS) * buckets))
     sums = keyed.groupBy("_mix_group", "_mix_bucket").agg(F.sum("_mix_size").alias("_mix_sum"))
-    before = Window.partitionBy("_mix_group").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("_mix_start", F.coalesce(F.sum("_mix_sum").over(before), F.lit(0))).drop("_mix_sum")
+    starts = started(sums)
     goals = goals.withColumn("_mix_group", F.when(F.col("_mix_source").isNull(), "n").otherwise(F.concat(F.lit("s"), "_mix_source"))).drop("_mix_source")
     joined = keyed.join(starts.join(goals, "_mix_group"), ["_mix_group", "_mix_bucket"])
     ties = [c for c in ("_mix_tie",) if c in rows.columns]

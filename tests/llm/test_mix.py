@@ -50,6 +50,7 @@ def check(rows, docs):
 @pytest.mark.parametrize("bucket", [7, 20_000])
 def test_documents(spark, monkeypatch, bucket):
     monkeypatch.setattr(M, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(M, "RUN_BUCKETS", 3)
     sf = "/root/testdata/sf0.001"
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").collect()]
     one = M.op4_mix_sources(spark, sf).collect()
