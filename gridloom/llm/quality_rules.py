@@ -1,7 +1,8 @@
 """Quality rules by repetition coverage.
 
 Per text, hashes of single words are rolled into hashes of 2 to 10 words in numpy. The characters inside repeated
-n-grams and repeated lines are measured and held against the usual limits for web text.
+n-grams and repeated lines are measured and held against the usual limits for web text. The share of repeated lines is one
+of bytes, those of n-grams are of code points in words.
 
 Defined results: a null or empty text has no words and fails the base rule; repeated rows give repeated rows;
 a null doc_id is carried along; columns other than doc_id and text are not read.
