@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import as_bytes, map_rows, table, written
+from gridloom.llm.common import as_bytes, drop, map_rows, table, written
 
 SHINGLE = 3
 MOST_BITS = 3
@@ -179,13 +179,17 @@ def band_links(rows: DataFrame, last: bool) -> DataFrame:
     return dealt.mapInArrow(run, "kind int, key long, a long, b long")
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """(u, v) with u > v: links among distinct fingerprints fp that connect whatever is connected at three bits."""
+def links(classes: DataFrame, steps: list[DataFrame] | None = None) -> DataFrame:
+    """(u, v) with u > v: links among distinct fingerprints fp that connect whatever is connected at three bits.
+
+    steps gets the written tables that they are read from."""
+    steps = [] if steps is None else steps
     rows = classes.select(F.lit(0).cast("long").alias("key"), "fp", F.col("fp").alias("rest"))
     found, left = None, 64
     for level, band in enumerate(LEVELS):
         last = level == len(LEVELS) - 1
         out = written(band_links(split(rows, left, band), last), f"simhash-bands-{level}")
+        steps.append(out)
         edges = out.where("kind = 0").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         found = edges if found is None else found.unionAll(edges)
         rows = out.where("kind = 1").select("key", F.col("a").alias("fp"), F.col("b").alias("rest"))
@@ -208,7 +212,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).distinct()
-        stars = written(small, "stars")
+        done, stars = stars, written(small, "stars")
+        drop(done)
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(now) == before:
             return stars
@@ -222,10 +227,14 @@ def hexed(fp: Column) -> Column:
 def grouped(prints: DataFrame) -> DataFrame:
     """fp, the component_id of its component, and the number of documents with the same fingerprint."""
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_same"))
-    stars = components(links(classes))
+    steps: list[DataFrame] = []
+    stars = components(links(classes, steps))
+    drop(*steps)
     rooted = classes.join(stars.withColumnsRenamed({"u": "fp", "v": "root"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     heads = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return written(rooted.join(heads, "root").select("fp", "component_id", "n_same"), "simhash-classes")
+    out = written(rooted.join(heads, "root").select("fp", "component_id", "n_same"), "simhash-classes")
+    drop(stars)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

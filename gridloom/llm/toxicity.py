@@ -249,8 +249,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(place)
-            keep = [model.score((t.as_py() or "").encode("utf-8", "replace")) < 0.5 for t in texts]
+            texts = batch.column(place).cast(pa.binary())  # the bytes that scored() reads
+            keep = [model.score(t.as_py() or b"") < 0.5 for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     small_batches(docs.sparkSession)
