@@ -90,6 +90,27 @@ def array_metadata(t: Tables) -> DataFrame:
     return answers(t, out)
 
 
+VARIANTS = {
+    "create": "'(' || n || ',) False regular 4'", "create_config": "'(' || n || ',) False regular 4'", "create_ghosts": "'(' || n || ',) True regular 4'", "create_ghosts_config": "'(' || n || ',) True regular 4'",
+    "create_irreg": "'(' || n || ',) False regular 3'", "create_irreg_config": "'(' || n || ',) False regular 3'", "create_ghosts_irreg": "'(' || n || ',) True regular 3'", "create_ghosts_irreg_config": "'(' || n || ',) True regular 3'",
+    "set_irreg_distr": "'(' || n || ',) False regular 3'", "set_restricted": "'(' || n || ',) False regular 2'",
+}
+
+
+@query(sql_answers(ONE, VARIANTS) + f" UNION ALL SELECT 'cells', CAST(n AS VARCHAR) FROM {ONE}")
+def created_variants(t: Tables) -> DataFrame:
+    """Every way of creating an array: dimensions, ghosts, kind of layout and blocks; and the cells that one of them has."""
+    call, e, n = OPERATIONS, t.engine, t.size("orders", "o_orderkey")
+    b = call["set_data"](call["create_handle"](e), (n,), "long")
+    said = lambda a: f"{a.dims} {a.has_ghosts} {a.layout.kind} {a.layout.n_blocks[0]}"
+    made = {name: call[name](e, (n,), "long", ghosts=(1,) if "ghosts" in name else ()) for name in ("create", "create_config", "create_ghosts", "create_ghosts_config")}
+    for name in ("create_irreg", "create_irreg_config", "create_ghosts_irreg", "create_ghosts_irreg_config", "set_irreg_distr"):
+        builder = call[name](b, [[0, n // 5, n // 2]])
+        made[name] = call["allocate"](call["set_ghosts"](builder, (1,)) if "ghosts" in name else builder)
+    made["set_restricted"] = call["allocate"](call["set_restricted"](b, [1, 3]))
+    return answers(t, [*((name, said(a)) for name, a in made.items()), ("cells", made["create_irreg"].df.count())])
+
+
 # how the cells of a layout are dealt: the vectors' whole numbers, summed by owner
 FLAT = "(b0 * {} + b1) % {}"
 LAYOUTS = {
@@ -222,6 +243,16 @@ def stencil_bounded(t: Tables) -> DataFrame:
     return halo.stencil(t.scores(), {(0, 0): 1.0, (1, 0): -2.0, (-2, 1): 3.0}, periodic=False).df
 
 
+@query(halo_of("true"))
+def update_ghosts_by_shift(t: Tables) -> DataFrame:
+    """All the older forms of the update give the same sections."""
+    a, out = ghosted(t), None
+    for name in (f"update{k}_ghosts" for k in (1, 2, 3, 4, 44, 5, 55, 6, 7)):
+        one = OPERATIONS[name](a)
+        out = one if out is None else out.intersect(one)
+    return out
+
+
 # blocks as tables, elements, fields
 @query(f"SELECT 'block' AS part, o_orderkey AS i0, o_totalprice AS v FROM orders, {ONE} WHERE o_orderkey BETWEEN n // 4 AND 2 * n // 4 - 1 "
        f"UNION ALL SELECT 'block_at', o_orderkey, o_totalprice FROM orders, {ONE} WHERE o_orderkey >= 3 * n // 4 UNION ALL SELECT 'segment', o_orderkey, o_totalprice FROM orders, {ONE} WHERE o_orderkey < n // 4")
@@ -328,6 +359,20 @@ def diag_generalised(t: Tables) -> DataFrame:
     return whole(dense.matmul(dense.scale_cols(sv, values), sv, trans=(False, True)).df)
 
 
+@query(f"SELECT k AS form, i0, i1, v FROM ({GRAM}), (SELECT unnest(['diag_std_seq', 'diag_seq', 'diag_reuse']) AS k)")
+def diag_forms(t: Tables) -> DataFrame:
+    """The other forms of both decompositions; with S = I the generalised one is the plain one."""
+    w = t.scores()
+    a = dense.matmul(w, w, trans=(True, False))
+    eye = dense.shift_diagonal(t.engine.create((64, 64), "double"), 1.0)
+    out = None
+    for name in ("diag_std_seq", "diag_seq", "diag_reuse"):
+        vectors, values = OPERATIONS[name](a) if name == "diag_std_seq" else OPERATIONS[name](a, eye)
+        one = whole(dense.matmul(dense.scale_cols(vectors, values), vectors, trans=(False, True)).df).select(F.lit(name).alias("form"), "i0", "i1", "v")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(f"SELECT i0, i1, CASE WHEN i0 < i1 THEN 0 ELSE v END AS v FROM ({GRAM})")
 def zero_triangle(t: Tables) -> DataFrame:
     w = t.scores()
