@@ -250,6 +250,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     prints = written(fingerprints(docs, tie=True), "simhash")
     heads = prints.join(grouped(prints), "fp").where("doc_id = component_id").groupBy("doc_id").agg(F.min("tie").alias("tie"))
+    return heading(docs, heads)
+
+
+def heading(docs: DataFrame, heads: DataFrame) -> DataFrame:
+    """The rows of docs that heads (doc_id, and tie, the hash of the text) names, one each, and those without an id."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     kept = rows.where(F.col("doc_id").isNotNull()).join(heads, ["doc_id", "tie"], "left_semi")
     first = Window.partitionBy("doc_id", "tie").orderBy("tie")

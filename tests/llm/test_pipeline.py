@@ -3,8 +3,8 @@
 import pytest
 
 from gridloom.llm import queries
-from gridloom.llm.simhash_dedup import near_duplicates
 from tests.llm import cases
+from tests.llm.test_near_texts import sets_of
 from tests.llm.test_packing import check_pack
 from tests.llm.test_secrets import brute as secrets_in
 
@@ -33,9 +33,32 @@ def test_stages_keep_the_columns(results):
 
 
 def test_one_document_of_each_group_stays(results):
-    before = near_duplicates(results["toxicity"])
-    kept = {r.doc_id for r in results["near_dedup"].collect()}
-    assert kept == {r.component_id for r in before.collect()}
+    """Against all pairs of five-word sets at 0.8 or more, found by their shared shingles."""
+    sets = dict(sets_of((r.doc_id, r.text) for r in results["toxicity"].collect()))
+    holders: dict = {}
+    for d, own in sets.items():
+        for x in own:
+            holders.setdefault(x, []).append(d)
+    least = {d: d for d in sets}
+
+    def head(d):
+        while least[d] != d:
+            d = least[d]
+        return d
+
+    copies: dict = {}
+    for d in sorted(sets):
+        met: dict = {}
+        for x in sets[d]:
+            for o in holders[x]:
+                if o < d:
+                    met[o] = met.get(o, 0) + 1
+        alike = [o for o, n in met.items() if 5 * n >= 4 * (len(sets[d]) + len(sets[o]) - n)]
+        alike += [copies.setdefault(sets[d], d)]
+        for o in alike:
+            a, b = sorted((head(d), head(o)))
+            least[b] = a
+    assert {r.doc_id for r in results["near_dedup"].collect()} == {head(d) for d in sets}
 
 
 def test_no_secret_is_left(results):
