@@ -3,13 +3,14 @@
 A text is the set of its WORDS-word shingles (lower-cased as in simhash_dedup). SimHash fingerprints of these sets find
 pairs by the pivot tables of simhash_dedup, but a pair at similarity 0.8 differs by about ten of 64 bits, and no exact
 search at that distance is cheap. So further candidates come from BANDS keys of ROWS smallest hashes each, which a pair at
-0.8 has in common in one band or more with probability 1 - (1 - 0.8**3)**16, above 0.99999. The texts that share a key are
-ordered by their fingerprints, rotated by another number of bits for each band, so that near ones are neighbours in one
-order or another. By set id, the first WHOLE + 1 are paired all with all, each further one with the first. What these pairs leave in
-different groups is tried again: within a key each text with those of the NEXT before it that are in another group. Candidates more than MOST_FAR bits apart in their
-fingerprints are discarded; the others are verified by the similarity of their sets: exactly for up to SKETCH shingles,
-and beyond by the SKETCH smallest hashes of the union, or again by whole
-sets where that estimate is within MARGIN of the limit. Components of the verified pairs are the groups.
+0.8 has in common in one band or more with probability 1 - (1 - 0.8**3)**16, above 0.99999. No text that shares a key is
+left out. First each text is paired within one key only, the largest that it shares: by set id, the first WHOLE + 1 all
+with all, each further one with the first. Keys whose texts are then in different groups follow, all of them: of a key of up
+to NEXT + 1 texts all pairs from different groups are candidates; the texts of a larger one meet in one task by their whole
+sets, which finds all links between its groups and gives a spanning forest of them. Candidates more than MOST_FAR
+bits apart in their fingerprints are discarded; the others are verified by the similarity of their sets: exactly for up to
+SKETCH shingles, and beyond by the SKETCH smallest hashes of the union, or again by whole sets where that estimate is
+within MARGIN of the limit. Components of the verified pairs are the groups.
 
 Defined results: null, empty and blank texts have the empty set and are copies of one another; a text of fewer words than a
 shingle is one shingle; a null doc_id counts in no minimum, and rows without an id all stay; repeated rows are copies; an
@@ -22,11 +23,11 @@ from itertools import repeat
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import simhash_dedup as simhash
-from gridloom.llm.common import as_bytes, drop, map_rows, written
+from gridloom.llm.common import as_bytes, drop, map_rows, small_batches, written
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 3
@@ -36,6 +37,8 @@ WHOLE, NEXT = 16, 16
 NO, YES, UNSURE = 0, 1, 2
 MARGIN = 0.08
 MOST_FAR = 28
+#: Candidates of one text that are compared at once.
+AT_ONCE = 1024
 _RNG = np.random.default_rng(5_000_808)
 #: Multipliers and addends of the hashes whose smallest values make the bands.
 _MULTIPLY, _ADD = (_RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64))
@@ -173,6 +176,86 @@ def apart(keyed: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its length."""
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+
+
+def forest(roots: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes (i, j) of sets that reach SIMILARITY: a spanning forest of all such links between different roots.
+
+    Of two sets that reach it, either misses few members of the other, so that they share one of their rarest members, as
+    many as may be missed and one more. Only sets of different roots that share such a one are compared.
+    """
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, member, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rarer = np.empty(len(counts), np.int64)
+    rarer[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    member = rarer[member]
+    member = member[np.lexsort((member, owner))]  # of each set, the rarest first
+    begins = np.cumsum(sizes) - sizes
+    rare = np.arange(len(member)) - begins[owner] <= sizes[owner] - np.ceil(SIMILARITY * sizes - 1e-6)[owner]
+    lists, of = member[rare], owner[rare]
+    order = np.argsort(lists, kind="stable")
+    lists, of = lists[order], of[order]
+    first = np.flatnonzero(np.append(True, lists[1:] != lists[:-1]))
+    lengths = np.diff(np.append(first, len(lists)))
+    mixed = np.minimum.reduceat(roots[of], first) != np.maximum.reduceat(roots[of], first)
+    at, begin = np.arange(len(lists)), np.repeat(first, lengths)
+    used = (at > begin) & np.repeat(mixed, lengths)  # each set meets those before it in its lists
+    turn = at[used][np.argsort(of[used], kind="stable")]
+    now, has = roots.copy(), np.zeros(len(counts), bool)
+    out: list[tuple[int, int]] = []
+    for places in np.split(turn, np.flatnonzero(np.diff(of[turn])) + 1) if len(turn) else []:
+        i = int(of[places[0]])
+        met = np.unique(of[ranges(begin[places], places - begin[places])])
+        met = met[np.minimum(sizes[met], sizes[i]) >= SIMILARITY * np.maximum(sizes[met], sizes[i]) - 1e-6]
+        own = member[begins[i] : begins[i] + sizes[i]]
+        has[own] = True
+        for s in range(0, len(met), AT_ONCE):
+            part = met[s : s + AT_ONCE]
+            part = part[now[part] != now[i]]
+            if not len(part):
+                continue
+            both = np.add.reduceat(has[member[ranges(begins[part], sizes[part])]], np.cumsum(sizes[part]) - sizes[part], dtype=np.int64)
+            for j in part[both >= SIMILARITY * (sizes[part] + sizes[i] - both)].tolist():
+                if now[j] != now[i]:
+                    now[now == now[j]] = now[i]
+                    out.append((i, j))
+        has[own] = False
+    links = np.array(out, np.int64).reshape(-1, 2)
+    return links[:, 0], links[:, 1]
+
+
+def within(crowds: DataFrame) -> DataFrame:
+    """(u, v): of the texts (key, sid, root, whole) of each key, a spanning forest of the links between different roots. A
+    key's texts are held by one task."""
+    dealt = crowds.repartition("key").sortWithinPartitions("key", "sid").select("key", "sid", "root", "whole")
+
+    def joined(held):
+        import pyarrow as pa
+
+        sids, roots = (np.array([row[c] for row in held], np.int64) for c in (0, 1))
+        u, v = forest(roots, [np.frombuffer(row[2], np.uint32) for row in held])
+        return pa.RecordBatch.from_arrays([pa.array(sids[u]), pa.array(sids[v])], ["u", "v"])
+
+    def run(batches):
+        key, held = None, []
+        for batch in batches:
+            for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key and held:
+                    yield joined(held)
+                    held = []
+                key = k
+                held.append(row)
+        if held:
+            yield joined(held)
+
+    small_batches(crowds.sparkSession)
+    return dealt.mapInArrow(run, "u long, v long").distinct()
+
+
 def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """The pairs (u, v) of sets that reach SIMILARITY, and the written tables that they are read from."""
     prints = rows.groupBy("sid").agg(F.min("fp").alias("fp"))
@@ -201,9 +284,9 @@ def with_ends(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
     return pairs.join(named(0, "u"), "u").join(named(1, "v"), "v")
 
 
-def exactly(unsure: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs that reach SIMILARITY by their whole sets, which are made again from a document of each."""
-    one = rows.join(ends(unsure), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "tie")).alias("x"))
+def whole_sets(sids: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """sid and whole, the set without a cut, made again from a document of each."""
+    one = rows.join(sids, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "tie")).alias("x"))
     one = written(one.select("sid", F.col("x.doc_id").alias("_id"), F.col("x.tie").alias("_tie")), "near-unsure")
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), as_bytes(), F.xxhash64("text").alias("_t"))
     texts = texts.join(one, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_tie"))).select("sid", "text")
@@ -212,25 +295,34 @@ def exactly(unsure: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
         yield [batch.column(0), [sketch(shingle_set(t.as_py()), None).tobytes() for t in batch.column(1)]]
 
     sets = written(map_rows(texts, whole, "sid long, whole binary").groupBy("sid").agg(F.min("whole").alias("whole")), "near-whole")
+    drop(one)
+    return sets
+
+
+def exactly(unsure: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the pairs that reach SIMILARITY by their whole sets."""
+    sets = whole_sets(ends(unsure), rows, docs)
 
     def judge(_, batch):
         keep = np.flatnonzero([reaches(*(np.frombuffer(x.as_py(), np.uint32) for x in ab)) for ab in zip(batch.column(2), batch.column(3), strict=True)])
         yield [batch.column(0).to_numpy()[keep], batch.column(1).to_numpy()[keep]]
 
     out = written(map_rows(with_ends(unsure, sets, "whole").select("u", "v", "whole0", "whole1"), judge, "u long, v long"), "near-exact")
-    drop(one, sets)
+    drop(sets)
     return out
 
 
-def turned(fp: Column, by: Column) -> Column:
-    """The fingerprint's bits rotated by a number below 64: near fingerprints are neighbours in one order or another."""
-    return F.call_function("shiftleft", fp, by).bitwiseOR(F.call_function("shiftrightunsigned", fp, F.lit(64) - by))
+def with_roots(texts: DataFrame, stars: DataFrame) -> DataFrame:
+    return texts.join(stars.withColumnsRenamed({"u": "sid", "v": "root"}), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
 
 
 def grouped(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """sid and the component_id, the smallest doc_id, of its group."""
-    keyed = rows.select("sid", "fp", F.posexplode("bands").alias("band", "key")).distinct()
-    keyed = written(keyed.select("key", turned(F.col("fp"), F.col("band") * (64 // BANDS)).alias("place"), "sid"), "near-keys")
+    keyed = written(rows.select(F.explode("bands").alias("key"), "sid").distinct(), "near-keys")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    keyed, every = written(keyed.join(shared, "key").select("key", "n", F.col("sid").alias("place"), "sid"), "near-shared"), keyed
+    drop(every)
+    largest = keyed.groupBy("sid").agg(F.max(F.struct("n", "key")).alias("x")).select("x.key", F.col("sid").alias("place"), "sid")
     # by the pivot tables: fingerprints at most three bits apart, and sets that share a fingerprint
     classes = rows.groupBy("fp").agg(F.min("sid").alias("sid"))
     steps: list[DataFrame] = []
@@ -238,19 +330,24 @@ def grouped(rows: DataFrame, docs: DataFrame) -> DataFrame:
     one = lambda c: classes.select(F.col("fp").alias(c), F.col("sid").alias(f"_{c}"))
     pivots = close.join(one("u"), "u").join(one("v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
     same = rows.select("fp", "sid").distinct().join(classes.withColumnRenamed("sid", "v"), "fp").select(F.col("sid").alias("u"), "v")
-    both = paired(keyed.withColumn("place", F.col("sid"))).unionAll(pivots).unionAll(same).where("u <> v")
+    both = paired(largest).unionAll(pivots).unionAll(same).where("u <> v")
     ordered = lambda pairs: pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     pairs = written(ordered(both), "near-candidates")
     drop(*steps)
     links, tables = verified(pairs, rows, docs)
     stars = simhash.components(links)
-    rooted = keyed.join(stars.withColumnsRenamed({"u": "sid", "v": "root"}), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    rest = written(ordered(apart(rooted)).join(pairs, ["u", "v"], "left_anti"), "near-rest")
+    rooted = with_roots(keyed, stars)
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+    rooted = written(rooted.join(mixed, "key", "left_semi"), "near-mixed")
+    rest = written(ordered(apart(rooted.where(F.col("n") <= NEXT + 1))).join(pairs, ["u", "v"], "left_anti"), "near-rest")
     more, more_tables = verified(rest, rows, docs)
-    first, stars = stars, simhash.components(links.unionAll(more))
-    drop(keyed, pairs, rest, first, *tables, *more_tables)
+    crowds = rooted.where(F.col("n") > NEXT + 1)
+    wholes = whole_sets(crowds.select("sid").distinct(), rows, docs)
+    crowded = written(within(crowds.join(wholes, "sid")), "near-crowded")
+    first, stars = stars, simhash.components(links.unionAll(more).unionAll(crowded))
+    drop(keyed, pairs, rooted, rest, wholes, crowded, first, *tables, *more_tables)
     sets = rows.groupBy("sid").agg(F.min("doc_id").alias("rep"))
-    rooted = sets.join(stars.withColumnsRenamed({"u": "sid", "v": "root"}), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    rooted = with_roots(sets, stars)
     heads = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     out = written(rooted.join(heads, "root").select("sid", "component_id"), "near-groups")
     drop(stars)

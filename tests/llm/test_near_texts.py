@@ -113,3 +113,67 @@ def test_edge_cases(spark):
     kept = N.one_of_each(docs)
     assert kept.schema == docs.schema and sum(r.doc_id is None for r in kept.collect()) == 2
     assert N.one_of_each(cases.empty(spark)).count() == 0 and N.groups(cases.empty(spark)).count() == 0
+
+
+def altered(rng: random.Random, tag: str, size: int, times: int) -> list[str]:
+    """A new text of words of its own, and copies of it with one word replaced: about 0.8 or more to one another."""
+    own = [f"{tag}{rng.randrange(10**6)}" for _ in range(size)]
+    out = [" ".join(own)]
+    for k in range(times):
+        other = list(own)
+        other[rng.randrange(size)] = f"{tag}x{k}"
+        out.append(" ".join(other))
+    return out
+
+
+def test_no_link_of_a_crowded_key_is_lost(spark):
+    """One key holds 360 texts of 120 groups: no order of it makes all the near ones neighbours."""
+    rng = random.Random(11)
+    texts = [t for g in range(120) for t in altered(rng, f"g{g}w", rng.randint(60, 700), 2)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    prints = N.written(N.sketched(docs).selectExpr("doc_id", "tie", "sid", "fp", "n", "sketch", "array(7L) bands"), "test-crowded")
+    got = {r.doc_id: r.component_id for r in prints.join(N.grouped(prints, docs), "sid").collect()}
+    assert got == {rows[k][0]: c for k, c in brute(rows).items()}
+
+
+@pytest.mark.parametrize(("seed", "least"), [(1, 1), (2, 20), (3, 90)])
+def test_forest_equals_all_pairs(monkeypatch, seed, least):
+    monkeypatch.setattr(N, "AT_ONCE", 7)
+    rng = np.random.default_rng(seed)
+    common = rng.integers(0, 1 << 32, 40, dtype=np.uint32)
+    sets = []
+    for _ in range(150):
+        size = int(rng.integers(least, least + 60))
+        own = rng.integers(0, 1 << 32, size, dtype=np.uint32)
+        if sets and rng.random() < 0.6:
+            own = sets[int(rng.integers(len(sets)))].copy()
+            own[rng.integers(0, len(own), int(rng.integers(0, 1 + len(own) // 8)))] = rng.integers(0, 1 << 32)
+        sets.append(np.unique(np.concatenate([own, common]) if rng.random() < 0.1 else own))
+    roots = np.arange(150)
+    roots[100:] = 100
+    u, v = N.forest(roots, sets)
+    want = roots.copy()
+    near = [(i, j) for i in range(150) for j in range(i) if N.reaches(sets[i], sets[j])]
+    for i, j in near:
+        want[want == want[i]] = want[j]
+    got = roots.copy()
+    for i, j in zip(u, v, strict=True):
+        assert (max(i, j), min(i, j)) in near and got[i] != got[j]
+        got[got == got[i]] = got[j]
+    assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want)) == 101 - len(u) and len(u)
+
+
+@pytest.mark.parametrize("rows", [1, 7, 512])
+def test_links_within_a_key_do_not_depend_on_batches(spark, rows):
+    """A group of near copies gives a link for each text but one, and keys do not mix."""
+    rng = random.Random(5)
+    sets = [N.sketch(N.shingle_set(t.encode()), None).tobytes() for t in altered(rng, "w", 300, 99)]
+    keyed = [(k, s, s, x) for k in (1, 2, 3) for s, x in enumerate(sets) if k < 3 or s < 2]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        got = N.within(spark.createDataFrame(keyed, "key long, sid long, root long, whole binary").repartition(3)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 512)
+    assert 99 <= len(got) and len(set(got)) == len(got) <= 100 and {r.u for r in got} == set(range(1, 100))
