@@ -533,3 +533,22 @@ def test_systems_by_panels(engine, monkeypatch, kind):
         assert np.allclose(dense.spd_invert(arrays[2]).collect(), np.linalg.inv(spd))
         with pytest.raises(Exception, match="singular"):
             dense.solve(engine.from_numpy(np.zeros((n, n))), arrays[1]).collect()
+
+
+@pytest.mark.parametrize("dtype", ["int", "double", "cdouble"])
+def test_densified_over_runs(spark, engine, dtype):
+    """Cells of several runs: elements at their starts and ends, repeated, null and outside; zeros are no rows of a join."""
+    m, n = 150, 333
+    last = m * n - 1
+    at = [0, 1, 16383, 16384, 16385, 32768, last]
+    rows = [(k // n, k % n, complex(k + 1)) for k in at] + [(0, 1, 5 + 0j), (m, 0, 7 + 0j), (0, n, 7 + 0j), (-1, 5, 7 + 0j)]
+    want = np.zeros((m, n), complex)
+    for i, j, v in rows:
+        if 0 <= i < m and 0 <= j < n:
+            want[i, j] += v
+    made = [(i, j, {"re": v.real, "im": v.imag} if dtype == "cdouble" else int(v.real)) for i, j, v in rows] + [(3, 3, None)] * (dtype != "cdouble")
+    kind = {"int": "long", "double": "long", "cdouble": "struct<re: double, im: double>"}[dtype]
+    a = sparse.to_dense(sparse.from_frame(engine, spark.createDataFrame(made, f"i long, j long, v {kind}"), m, n, dtype))
+    assert "Join" not in a.df._jdf.queryExecution().executedPlan().toString()
+    assert a.df.count() == a.df.select("i0", "i1").distinct().count() == m * n and a.df.where("v is null").count() == 0
+    assert np.array_equal(a.collect(), want)
