@@ -15,11 +15,19 @@ from gridloom.plans.engine import Array
 def scalar(value, a: Array):
     if a.dtype.kind == "complex":
         return complex(0 if value is None or value["re"] is None else value["re"], 0 if value is None or value["im"] is None else value["im"])
-    return 0 if value is None else value
+    return 0 if value is None else int(value) if a.dtype.kind == "int" else value
+
+
+def exact_frame(products: DataFrame, x: Column, y: Column) -> DataFrame:
+    """One row: the exact sum of products of integers, a long where it fits and a decimal of 38 digits beyond; the type depends on the sum, so it is made at once."""
+    wide = "decimal(19,0)"
+    total = products.agg(F.sum(x.cast(wide) * y.cast(wide)).alias("dot")).first()[0]
+    kind = "long" if total is None or -(1 << 63) <= total < 1 << 63 else "decimal(38,0)"
+    return products.sparkSession.range(1).select(F.lit(None if total is None else str(total)).cast(kind).alias("dot"))
 
 
 def dot_frame(a: Array, b: Array, boxes: tuple[Box, Box] | None = None, trans: tuple[bool, bool] = (False, False)) -> DataFrame:
-    """One row: the sum of products; complex numbers aren't conjugated."""
+    """One row: the sum of products; complex numbers aren't conjugated, sums of integers are exact (exact_frame)."""
     if a.dtype != b.dtype:
         raise ValueError("types differ")
     own = [check_box(box, x.dims) for box, x in zip(boxes, (a, b), strict=True)] if boxes else [full(a.dims), full(b.dims)]
@@ -35,8 +43,9 @@ def dot_frame(a: Array, b: Array, boxes: tuple[Box, Box] | None = None, trans: t
         re = F.sum(x["re"].cast("double") * y["re"] - x["im"].cast("double") * y["im"])
         im = F.sum(x["re"].cast("double") * y["im"] + x["im"].cast("double") * y["re"])
         return both.agg(F.struct(re.alias("re"), im.alias("im")).alias("dot"))
-    wide = "double" if a.dtype.kind == "real" else "long"
-    return both.agg(F.sum(x.cast(wide) * y.cast(wide)).alias("dot"))
+    if a.dtype.kind == "int":
+        return exact_frame(both, x, y)
+    return both.agg(F.sum(x.cast("double") * y.cast("double")).alias("dot"))
 
 
 def dot(a: Array, b: Array, boxes: tuple[Box, Box] | None = None, trans: tuple[bool, bool] = (False, False)):

@@ -552,3 +552,17 @@ def test_densified_over_runs(spark, engine, dtype):
     assert "Join" not in a.df._jdf.queryExecution().executedPlan().toString()
     assert a.df.count() == a.df.select("i0", "i1").distinct().count() == m * n and a.df.where("v is null").count() == 0
     assert np.array_equal(a.collect(), want)
+
+
+def test_dot_beyond_longs(engine):
+    """Sums, and single products, that no long holds are exact; others stay longs."""
+    x, y = np.array([2**62, 2**62, -5]), np.array([2, 3, 7])
+    a, b = engine.from_numpy(x), engine.from_numpy(y)
+    assert reduce.dot(a, b) == 5 * 2**62 - 35
+    assert reduce.dot(a, a) == 2 * 2**124 + 25
+    assert reduce.dot_frame(a, b).dtypes == [("dot", "decimal(38,0)")]
+    assert reduce.dot_frame(b, b).dtypes == [("dot", "bigint")] and reduce.dot(b, b) == 62
+    assert reduce.dot(ew.scale(a, -1), b) == 35 - 5 * 2**62
+    edge = engine.from_numpy(np.array([2**62, 2**62 - 1]))
+    ones = engine.from_numpy(np.array([1, 1]))
+    assert reduce.dot(edge, ones) == 2**63 - 1 and reduce.dot_frame(edge, ones).dtypes == [("dot", "bigint")]
