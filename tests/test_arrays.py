@@ -566,3 +566,25 @@ def test_dot_beyond_longs(engine):
     edge = engine.from_numpy(np.array([2**62, 2**62 - 1]))
     ones = engine.from_numpy(np.array([1, 1]))
     assert reduce.dot(edge, ones) == 2**63 - 1 and reduce.dot_frame(edge, ones).dtypes == [("dot", "bigint")]
+
+
+@pytest.mark.parametrize("dtype", ["long", "double", "cdouble"])
+def test_sparse_product_over_blocks(spark, engine, dtype):
+    """Elements at the edges of blocks, repeated ones, a hot inner index, sums that cancel; partial sums are made in ranges of blocks before a shuffle."""
+    n, at = 5000, [0, 1, 2047, 2048, 2049, 4095, 4096, 4999]
+    rng = np.random.default_rng(3)
+    left = [(i, k, int(rng.integers(1, 9))) for i in at for k in (0, 7, 2048, 4999)] + [(i, 11, 1) for i in range(0, n, 25)] + [(5, 20, 2), (5, 20, 3), (6, 30, 1), (6, 31, 1)]
+    right = [(k, j, int(rng.integers(1, 9))) for j in at for k in (0, 7, 2048, 4998)] + [(11, j, 2) for j in range(3, n, 25)] + [(20, 9, 4), (30, 9, 1), (31, 9, -1)]
+    value = (lambda v: {"re": 1.0 * v, "im": -1.0 * v}) if dtype == "cdouble" else (lambda v: v)
+    kind = "struct<re: double, im: double>" if dtype == "cdouble" else "long"
+    a, b = (sparse.from_frame(engine, spark.createDataFrame([(i, j, value(v)) for i, j, v in rows], f"i long, j long, v {kind}"), n, n, dtype) for rows in (left, right))
+    want: dict = {}
+    for i, k, x in left:
+        for k2, j, y in right:
+            if k == k2:
+                want[i, j] = want.get((i, j), 0) + x * y * ((1 - 1j) ** 2 if dtype == "cdouble" else 1)
+    made = sparse.matmat_multiply(a, b).df
+    rows = made.collect()
+    assert len(rows) == len(want) and want[6, 9] == 0
+    assert {(r.i, r.j): complex(r.v["re"], r.v["im"]) if dtype == "cdouble" else r.v for r in rows} == want
+    assert "rangepartitioning" in made._jdf.queryExecution().executedPlan().toString()
