@@ -588,3 +588,20 @@ def test_sparse_product_over_blocks(spark, engine, dtype):
     assert len(rows) == len(want) and want[6, 9] == 0
     assert {(r.i, r.j): complex(r.v["re"], r.v["im"]) if dtype == "cdouble" else r.v for r in rows} == want
     assert "rangepartitioning" in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_solver_steps_take_no_matrix_shuffle(spark, engine):
+    """Vectors of several blocks; a step's product joins packs of the matrix with arrays of the vector, both written, and shuffles only its sums."""
+    n = 5000
+    rows = [(i, i, 4.0) for i in range(n)] + [(i, i + 1, -1.0) for i in range(n - 1)] + [(i + 1, i, -1.0) for i in range(n - 1)]
+    s = sparse.from_frame(engine, spark.createDataFrame(rows, "i long, j long, v double"), n, n, "double")
+    want = np.arange(n) % 7 + 1.0
+    b = 4 * want - np.append(want[1:], 0) - np.append(0, want[:-1])
+    packs = iterative.stepped(s)
+    assert packs.count() < 2 * n
+    x = spark.range(n).select(F.col("id").alias("i"), (F.col("id") % 7 + 1.0).cast("double").alias("x"))
+    q = iterative.product(packs, x, "x")
+    assert np.allclose([r.q for r in q.orderBy("i").collect()], b)
+    assert q._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") == 1
+    for solver in (iterative.conjugate_gradient, iterative.jacobi):
+        assert np.allclose(solver(s, engine.from_numpy(b)).x.collect(), want)
